@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, htmltext, mixing, simhash, topk, urlfilter
+from . import bpe, exactdedup, htmltext, mixing, simhash, topk, toxicity, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -49,12 +49,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_url_filter, op4_mix_sources, op5_exact_dedup, op6_byte_bpe, op8_html_text)
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_url_filter, op4_mix_sources, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_html_text)
 }
 
 MIX_SQL = f"""

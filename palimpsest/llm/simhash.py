@@ -248,7 +248,7 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, reach: int = 4) -> DataFrame:
     """The document of each component whose doc_id is its component_id, all columns unchanged."""
-    gone = near_dedup(docs, text, id_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    gone = near_dedup(docs, text, id_col, width, reach=reach).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
