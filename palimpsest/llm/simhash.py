@@ -22,7 +22,7 @@ from . import scratch
 #: Fingerprints that the tree is planned on; more only balance the shards better.
 TREE_SAMPLE = 20_000
 #: Aimed-at fingerprints of a shard.
-SHARD_ROWS = 8_192
+SHARD_ROWS = 32_768
 #: Fingerprints of a tile that is compared in full.
 TILE = 1_024
 #: Children of a node in the trees that carry links.
@@ -214,6 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label among the neighbours and then jumps to that label's own label, and is written out, so
     lineage stays short; the number of rounds is logarithmic in a component's diameter.
     """
+    edges = scratch.write(edges, "links")
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(edges.select("b", "a"))
     both = scratch.write(both.distinct(), "edges")
     labels = scratch.write(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("root")), "labels")
