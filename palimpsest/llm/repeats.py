@@ -8,8 +8,8 @@ A passage is a string of LENGTH bytes. What has to be sorted is cut down and dea
 2. Blocks then send the distinct runs of those minimizers, with the least doc_id that has them. A minimizer in very many
    blocks is dealt out by whole passages instead, so that no bucket gathers an unbounded group.
 3. A bucket splits the distinct strings into shards, builds the Burrows-Wheeler transform of each, and merges the
-   transforms by iterative interleave refinement: pass h of the interleave is right for the first h symbols, and keeps
-   the intervals of equal prefixes. After LENGTH passes each interval holds all occurrences of one passage, no
+   transforms by iterative interleave refinement: pass h of the interleave is right for the first h steps, and keeps
+   the intervals of equal prefixes. After LENGTH / 2 passes of two bytes each interval holds all occurrences of one passage, no
    suffix having been sorted anew; the least doc_id of an interval goes back to the blocks.
 4. Blocks mark the passages whose least doc_id is smaller than their own.
 
@@ -35,7 +35,9 @@ BLOCK_BYTES = 6_000_000
 BUCKET_BYTES = 12_000_000
 #: A minimizer in more blocks than this is dealt out by whole passages.
 HOT_BLOCKS = 64
-SHARDS = 4
+SHARDS = 2
+#: Bytes that a symbol of the transforms has; LENGTH is a multiple.
+STEP = 2
 #: Bytes that one pass of hashing takes.
 CHUNK = 1 << 20
 NOBODY = np.int64(2**63 - 1)
@@ -136,9 +138,10 @@ class Block:
 
 
 def shard_transform(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the suffixes, symbol before each) of strings that end in the symbol 0, sorted to a depth of 64.
+    """(order of the suffixes, the STEP symbols before each) of strings that end in the symbol 0, sorted to a depth of 64.
 
-    A string is read in a circle, as the merge reads it. Order beyond that depth is never looked at.
+    A string is read in a circle, as the merge reads it. Order beyond that depth is never looked at. The transform takes
+    two bytes a step, which halves the passes of the merge.
     """
     begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(codes)) - begin
@@ -154,30 +157,32 @@ def shard_transform(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
         key = rank * np.uint64(len(codes)) + rank[begin + (place + depth) % size]
         depth *= 2
     order = np.argsort(rank, kind="stable")
-    return order, codes[(begin + (place - 1) % size)[order]]
+    before = codes[begin + (place - 2) % size].astype(np.uint16) << np.uint16(8) | codes[begin + (place - 1) % size]
+    return order, before[order]
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row in the shards' concatenation, interval) of each place of the merged order, right for ``depth`` symbols.
+def merge_transforms(transforms: list[np.ndarray], passes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row in the shards' concatenation, interval) of each place of the merged order, right for ``passes`` steps.
 
     ``shard`` is the interleave. A pass takes the symbols in its order and sorts them stably, which makes it right for
-    one more symbol; two neighbours share a longer prefix if their symbols agree and what follows did before.
+    one more step; two neighbours share a longer prefix if their symbols agree and what follows did before.
     """
-    symbols = np.concatenate(transforms)
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    interval = np.zeros(len(symbols), np.int32)
-    place = np.empty(len(symbols), np.uint8)
-    rows = np.arange(len(symbols))
-    for _ in range(depth):
-        place = symbols[rows]
+    sizes = [len(t) for t in transforms]
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), sizes)
+    interval = np.zeros(len(shard), np.int32)
+    place = np.empty(len(shard), np.uint16)
+    fresh = np.zeros(len(shard), bool)
+    for _ in range(passes):
+        for i, t in enumerate(transforms):
+            place[shard == i] = t
         order = np.argsort(place, kind="stable")
         shard, follows, first = shard[order], interval[order], place[order]
-        fresh = np.empty(len(order), bool)
-        fresh[:1] = False
         np.not_equal(first[1:], first[:-1], out=fresh[1:])
         fresh[1:] |= follows[1:] != follows[:-1]
         interval = np.cumsum(fresh, dtype=np.int32)
-        rows[np.argsort(shard, kind="stable")] = np.arange(len(rows))
+    rows = np.empty(len(shard), np.int64)
+    for i, offset in enumerate(np.cumsum(sizes) - sizes):
+        rows[shard == i] = np.arange(offset, offset + sizes[i])
     return rows, interval
 
 
@@ -193,7 +198,7 @@ def least_owners(strings: list[bytes], owners: np.ndarray, depth: int = LENGTH)
         order, transform = shard_transform(codes, lengths[a:b] + 1)
         suffixes.append(order + offsets[a])
         transforms.append(transform)
-    rows, interval = merge_transforms(transforms, depth)
+    rows, interval = merge_transforms(transforms, depth // STEP)
     suffix = np.concatenate(suffixes)[rows]
     total = int(lengths.sum()) + len(strings)
     string = np.repeat(np.arange(len(strings)), lengths + 1)
@@ -220,6 +225,12 @@ def _ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(int(NOBODY)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A block's documents in one order for every stage; a shuffle brings them in any."""
+    ids, texts = _ids(table.column("doc_id")).tolist(), table.column("text").to_pylist()
+    return table.take(pa.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i])), pa.int64()))
+
+
 def _block(table: pa.Table) -> Block:
     return Block(table.column("text").to_pylist(), _ids(table.column("doc_id")))
 
@@ -269,7 +280,7 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
     states = by_block.applyInArrow(ask, "bucket int, block int, keys binary").groupBy("bucket").applyInArrow(hear, "block int, bucket int, states binary")
 
     def candidates(table: pa.Table, replies: pa.Table):
-        block = _block(table)
+        block = _block(_in_order(table))
         keys, number, several = block.filter_keys(n_buckets)
         return block, block.strings(_answers(keys, replies), number, several, n_buckets)
 
@@ -340,7 +351,7 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
         edge[at] += 1  # a position starts one passage
         edge[LENGTH:] -= np.bincount(at, minlength=len(edge) - LENGTH).astype(np.int32) if len(at) else 0
         removed = np.cumsum(edge[: len(block.data)]) > 0
-        return make(table.column("doc_id").combine_chunks(), block, removed)
+        return make(_in_order(table).column("doc_id").combine_chunks(), block, removed)
 
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(_when_any(finish, make), schema)
 
