@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, htmltext, mixing, repeats, simhash, topk, toxicity, urlfilter
+from . import bpe, exactdedup, htmltext, lm, mixing, repeats, simhash, topk, toxicity, urlfilter
 
 URL_RULES = (
     urlfilter.Rule("allow", "org", "/"),
@@ -61,9 +61,16 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_url_filter, op4_mix_sources, op5_exact_dedup, op6_byte_bpe, op7_toxicity, op8_html_text, op9_remove_repeats)
+    for f in (
+        op1_simhash_near_dedup, op2_exact_top_k, op3_url_filter, op4_mix_sources, op5_exact_dedup,
+        op6_byte_bpe, op7_toxicity, op8_html_text, op9_remove_repeats, op10_lm_score,
+    )
 }
 
 MIX_SQL = f"""
