@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 ORDER = 6
 DISCOUNT = 3.0
 #: Labelled documents that are learned from at most: of each class for the counts, of both for the curve.
-MAX_TRAIN_DOCS = 5_000
+MAX_TRAIN_DOCS = 3_000
 MAX_CURVE_DOCS = 8_000
 #: Characters of text that a task scores at a time.
 GROUP_CHARS = 16_000_000
@@ -40,11 +40,12 @@ class Spelled:
 
     def __init__(self, words: list[str]) -> None:
         joined = "".join([f" {w} " for w in words])
-        self.points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(7)
+        self.points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
         starts = np.cumsum(self.sizes) - self.sizes
         self.word = np.repeat(np.arange(len(words), dtype=np.int32), self.sizes)
-        self.place = (np.arange(len(self.points)) - starts[self.word]).astype(np.int32)
+        self.place = np.arange(len(self.points), dtype=np.int32)
+        self.place -= starts.astype(np.int32)[self.word]
 
     def keys(self, n: int, at: np.ndarray) -> np.ndarray:
         """Codes of the n-grams that end at the given positions."""
@@ -52,7 +53,7 @@ class Spelled:
             code, power = np.zeros(len(at), np.uint64), np.uint64(n)
             for i in range(n):
                 power = power * np.uint64(MULTIPLIER) + np.uint64(0x632BE59BD9B4E019)
-                code += self.points[at - i] * power
+                code += (self.points[at - i].astype(np.uint64) + np.uint64(7)) * power
                 code ^= code >> np.uint64(32)
             return code
 
@@ -120,17 +121,18 @@ def train(words: list[str], counts: np.ndarray) -> Model:
     """From the number of documents of each class (ordinary, toxic) that hold each word."""
     spelled = Spelled(words)
     n_pos = len(spelled.points)
-    shared = np.full(n_pos, 1e-4)
+    shared = np.full(n_pos, 1e-4, np.float32)
     prob = [shared, shared]
     model = Model([(np.zeros(0, np.uint64), np.zeros(0))], [(np.zeros(0, np.uint64), np.zeros(0))])
     for n in range(1, ORDER + 1):
-        at = np.flatnonzero((spelled.place >= max(1, n - 1)))
+        at = np.flatnonzero(spelled.place >= max(1, n - 1)).astype(np.int32)
         types, first, type_of = np.unique(spelled.keys(n, at), return_index=True, return_inverse=True)
         context = spelled.keys(n - 1, at[first] - 1) if n > 1 else np.zeros(len(types), np.uint64)
         ctx, ctx_of = np.unique(context, return_inverse=True)
+        type_of, ctx_of = type_of.astype(np.int32), ctx_of.astype(np.int32)
         word = spelled.word[at]
         if n == 1:  # continuation counts: distinct bigrams that end in the character
-            pairs = np.unique(np.stack([type_of.astype(np.uint64), spelled.points[at - 1]]), axis=1)[0].astype(np.int64)
+            pairs = np.unique(type_of.astype(np.uint64) << np.uint64(32) | spelled.points[at - 1]).astype(np.int64) >> 32
             found = np.bincount(pairs, minlength=len(types)).astype(float)
             shared[at] = (found / found.sum())[type_of]
             model.grams.append((types, np.zeros(len(types))))
@@ -143,7 +145,7 @@ def train(words: list[str], counts: np.ndarray) -> Model:
             back = np.where(total > 0, off / np.maximum(total, 1e-300), 1.0)
             direct = np.maximum(count - DISCOUNT, 0.0) / np.maximum(total, 1e-300)[ctx_of]
             p = prob[c].copy()
-            p[at] = direct[type_of] + back[ctx_of][type_of] * prob[c][at]
+            p[at] = direct.astype(np.float32)[type_of] + back[ctx_of].astype(np.float32)[type_of] * prob[c][at]
             seen.append(count > DISCOUNT)
             prob_now.append(p)
             backs.append(back)
