@@ -2,11 +2,13 @@
 
 A passage is a string of LENGTH bytes. What has to be sorted is cut down and dealt out exactly:
 
-1. Every passage has a minimizer, the least hash among its k-grams. Equal passages have equal minimizers, so runs of
-   successive passages with one minimizer (with the bytes around them) can be dealt out by it, and those whose minimizer occurs once in the
-   corpus can't repeat. Blocks of documents send each bucket of minimizers the set of theirs and hear which occur elsewhere.
-2. Blocks then send the distinct runs of those minimizers, with the least doc_id that has them. A minimizer in very many
-   blocks is dealt out by whole passages instead, so that no bucket gathers an unbounded group.
+1. Every passage has minimizers, the least hashes among its k-grams. Equal passages have equal minimizers, so passages whose
+   minimizer of long k-grams occurs once in the corpus can't repeat. Blocks of documents send each bucket of
+   minimizers the set of theirs and hear which occur elsewhere.
+2. Runs of the passages left, of successive ones with one minimizer of short k-grams, are dealt out by that minimizer:
+   blocks send their distinct runs, with the bytes around them and the least doc_id that has them. A minimizer that a sample of
+   the documents shows to have very many runs is dealt out by whole passages instead, so that no bucket gathers an
+   unbounded group.
 3. A bucket splits the distinct strings into shards, builds the Burrows-Wheeler transform of each, and merges the
    transforms by iterative interleave refinement: pass h of the interleave is right for the first h steps, and keeps
    the intervals of equal prefixes. After LENGTH / 2 passes of two bytes each interval holds all occurrences of one passage, no
@@ -29,12 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
-K = 24
+#: Length of the k-grams that passages are told apart by first, and of those that they are dealt out by.
+FILTER_K = 32
+K = 16
 #: Bytes of text of a block of documents, and for each bucket of minimizers.
 BLOCK_BYTES = 6_000_000
 BUCKET_BYTES = 12_000_000
-#: A minimizer in more blocks than this is dealt out by whole passages.
-HOT_BLOCKS = 64
+#: A minimizer with more strings than this, as one document of SAMPLE_SHARE tells, is dealt out by whole passages; at most MAX_HOT
+#: are. Which ones are only decides where passages meet, never what is found.
+HOT_STRINGS = 50_000
+SAMPLE_SHARE = 64
+MAX_HOT = 10_000
 SHARDS = 2
 #: Bytes that a symbol of the transforms has; LENGTH is a multiple.
 STEP = 2
@@ -55,23 +62,33 @@ def _power_tables() -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
-def passage_minimizers(data: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
-    """Minimizer of the passage at each position of a chunk; neighbours in a chunk may be of different documents."""
-    n = len(data)
+def passage_minimizers(data: np.ndarray, ks: tuple[int, ...], length: int = LENGTH) -> list[np.ndarray]:
+    """Minimizers of the passage at each position of a chunk, for each k; neighbours in a chunk may be of different documents."""
+    n, m, out = len(data), len(data) - length + 1, []
     up, down = _power_tables()
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        least = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
-        least ^= least >> np.uint64(32)
-        least *= np.uint64(0xD6E8FEB86659FD93)
-        least ^= least >> np.uint64(32)
-    width, size = length - k + 1, 1
-    while size * 2 <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    m = n - length + 1
-    return np.minimum(least[:m], least[width - size : width - size + m])
+        for k in ks:
+            least = (total[k:] - total[: n - k + 1]) * down[: n - k + 1]
+            least ^= least >> np.uint64(32)
+            least *= np.uint64(0xD6E8FEB86659FD93)
+            least ^= least >> np.uint64(32)
+            width, size = length - k + 1, 1
+            while size * 2 <= width:
+                least = np.minimum(least[:-size], least[size:])
+                size *= 2
+            out.append(np.minimum(least[:m], least[width - size : width - size + m]))
+    return out
+
+
+def _runs_of(same: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of positions that are ``inside``; ``same``: as the position before."""
+    new = ~same
+    new[1:] |= ~inside[:-1]
+    first = np.flatnonzero(new & inside)
+    stop = np.flatnonzero(np.r_[(new | ~inside)[1:], True])
+    return first, stop[np.searchsorted(stop, first)] - first + 1
 
 
 class Block:
@@ -83,55 +100,66 @@ class Block:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.ends = np.cumsum(self.sizes)
         self.doc_ids = doc_ids
-        starts, runs, values = [], [], []
+
+    def passages(self, ks: tuple[int, ...]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For each chunk: its offset, minimizers, whether a position has a passage, and the position's document."""
         n = len(self.data)
         for a in range(0, max(0, n - LENGTH + 1), CHUNK):
-            part = self.data[a : a + CHUNK + LENGTH - 1]
-            value = passage_minimizers(part)
-            at = np.arange(a, a + len(value))
-            doc = np.searchsorted(self.ends, at, side="right")
-            inside = at + LENGTH <= self.ends[doc]
-            new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]
-            new |= np.r_[True, ~inside[:-1]]
-            first = np.flatnonzero(new & inside)
-            stop = np.flatnonzero(np.r_[(new | ~inside)[1:], True])  # last position before a change
-            last = stop[np.searchsorted(stop, first)]
+            values = passage_minimizers(self.data[a : a + CHUNK + LENGTH - 1], ks)
+            at = np.arange(a, a + len(values[0]))
+            first = int(np.searchsorted(self.ends, a, side="right"))
+            cut = self.ends[first:] - a
+            doc = first + np.cumsum(np.bincount(cut[cut < len(at)], minlength=len(at)))
+            yield a, values, at + LENGTH <= self.ends[doc], doc
+
+    def filter_keys(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys (bucket << 32 | 32 bits), whether several runs have one, and the key's number and length of each run."""
+        found, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, (value,), inside, doc in self.passages((FILTER_K,)):
+            same = np.r_[False, (value[1:] == value[:-1]) & (doc[1:] == doc[:-1])]
+            first, size = _runs_of(same, inside)
+            found.append(value[first])
+            lengths.append(size)
+        value = np.concatenate(found)
+        bucket = (value >> np.uint64(32)) % np.uint64(n_buckets)
+        keys, number, count = np.unique(bucket << np.uint64(32) | value & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
+        return keys, count > 1, number, np.concatenate(lengths)
+
+    def strings(self, elsewhere: np.ndarray, n_buckets: int, hot: set[int] | None = None):
+        """Runs of passages that may repeat, as numbered distinct strings.
+
+        (start, passages and number of each run; strings, their minimizers and buckets). ``elsewhere``: whether each run of
+        :meth:`filter_keys` may repeat. Runs of ``hot`` minimizers are split into passages.
+        """
+        starts, runs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        at = 0
+        for a, (long, short), inside, doc in self.passages((FILTER_K, K)):
+            near = np.r_[False, doc[1:] == doc[:-1]]
+            first, size = _runs_of(near & np.r_[False, long[1:] == long[:-1]], inside)
+            edge = np.zeros(len(inside) + 1, np.int8)
+            kept = elsewhere[at : at + len(first)]
+            at += len(first)
+            edge[first[kept]] += 1
+            edge[first[kept] + size[kept]] -= 1
+            inside &= np.cumsum(edge[:-1], dtype=np.int8) > 0
+            first, size = _runs_of(near & np.r_[False, short[1:] == short[:-1]], inside)
             starts.append(first + a)
-            runs.append(last - first + 1)
-            values.append(value[first])
-        none = np.zeros(0, np.int64)
-        self.starts = np.concatenate([none, *starts])
-        self.runs = np.concatenate([none, *runs])
-        self.values = np.concatenate([np.zeros(0, np.uint64), *values])
-
-    def filter_keys(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, number of the key of each run, whether several runs of this block have it); a key: bucket << 32 | 32 bits."""
-        bucket = (self.values >> np.uint64(32)) % np.uint64(n_buckets)
-        key = bucket << np.uint64(32) | self.values & np.uint64(0xFFFFFFFF)
-        keys, number, count = np.unique(key, return_inverse=True, return_counts=True)
-        return keys, number, count > 1
-
-    def strings(self, answer: np.ndarray, number: np.ndarray, several: np.ndarray, n_buckets: int):
-        """Runs that may repeat, as numbered distinct strings: (start, passages, number of each run), strings and their minimizers."""
-        state = answer[number]
-        kept = np.flatnonzero((state > 0) | several[number])
-        hot = state[kept] > 1
-        cold, warm = kept[~hot], kept[hot]
-        n_hot = self.runs[warm]
-        spread = np.repeat(self.starts[warm] - (np.cumsum(n_hot) - n_hot), n_hot) + np.arange(n_hot.sum())
-        starts = np.concatenate([self.starts[cold], spread])
-        runs = np.concatenate([self.runs[cold], np.ones(len(spread), np.int64)])
+            runs.append(size)
+            values.append(short[first])
+        starts, runs, values = np.concatenate(starts), np.concatenate(runs), np.concatenate(values)
+        many = np.isin(values, np.array(sorted(hot), np.uint64)) if hot else np.zeros(len(values), bool)
+        n_many = runs[many]
+        spread = np.repeat(starts[many] - (np.cumsum(n_many) - n_many), n_many) + np.arange(n_many.sum())
+        n_cold = int((~many).sum())
+        starts, runs, values = np.concatenate([starts[~many], spread]), np.concatenate([runs[~many], np.ones(len(spread), np.int64)]), values[~many]
         known: dict[bytes, int] = {}
-        number_of = known.setdefault
-        raw = self.raw
+        number_of, raw = known.setdefault, self.raw
         ids = np.array([number_of(raw[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + runs + LENGTH - 1).tolist())], np.int64)
-        values = np.zeros(len(known), np.uint64)
-        values[ids[: len(cold)]] = self.values[cold]
-        words = list(known)
-        if len(spread):
-            for i in np.unique(ids[len(cold) :]).tolist():
-                values[i] = xxhash.xxh64_intdigest(words[i], 7)
-        return starts, runs, ids, words, values, ((values >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+        words, minimizers = list(known), np.zeros(len(known), np.uint64)
+        minimizers[ids[:n_cold]] = values
+        for i in np.unique(ids[n_cold:]).tolist():
+            minimizers[i] = xxhash.xxh64_intdigest(words[i], 7)
+        return starts, runs, ids, words, minimizers, ((minimizers >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return self.doc_ids[np.searchsorted(self.ends, at, side="right")]
@@ -260,13 +288,28 @@ def _dealt(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, int]:
     return dealt, total // BUCKET_BYTES + 1
 
 
+def hot_minimizers(dealt: DataFrame) -> set[int]:
+    def count(table: pa.Table) -> pa.Table:
+        block = _block(table)
+        runs = len(block.filter_keys(1)[3])
+        _, _, _, _, minimizers, _ = block.strings(np.ones(runs, bool), 1)
+        value, n = np.unique(minimizers, return_counts=True)
+        several = n > 1
+        return pa.table({"minimizer": pa.array(value[several].view(np.int64)), "n": pa.array(n[several], pa.int64())})
+
+    sample = dealt.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(SAMPLE_SHARE)) == 0)
+    totals = sample.groupBy("block").applyInArrow(count, "minimizer bigint, n bigint").groupBy("minimizer").agg(F.sum("n").alias("n"))
+    found = totals.where(F.col("n") * SAMPLE_SHARE > HOT_STRINGS).orderBy(F.col("n").desc(), "minimizer").limit(MAX_HOT).collect()
+    return {r["minimizer"] & 0xFFFFFFFFFFFFFFFF for r in found}
+
+
 def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``make(doc_id, content, removed)`` for each document, ``removed`` marking the bytes of repeated passages."""
     dealt, n_buckets = _dealt(docs, text, id_col)
     by_block = dealt.groupBy("block")
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, _, _ = _block(table).filter_keys(n_buckets)
+        keys, *_ = _block(_in_order(table)).filter_keys(n_buckets)
         low, parts = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), list(_by_bucket((keys >> np.uint64(32)).astype(np.int64)))
         block = table.column("block")[0].as_py()
         return pa.table({"bucket": pa.array([b for b, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "keys": pa.array([low[p].tobytes() for _, p in parts], pa.binary())})
@@ -274,15 +317,17 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
     def hear(table: pa.Table) -> pa.Table:
         sent = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
         known, count = np.unique(np.concatenate(sent), return_counts=True)
-        state = np.where(count > HOT_BLOCKS, 2, np.where(count > 1, 1, 0)).astype(np.uint8)
+        state = (count > 1).astype(np.uint8)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "states": pa.array([state[np.searchsorted(known, s)].tobytes() for s in sent], pa.binary())})
 
     states = by_block.applyInArrow(ask, "bucket int, block int, keys binary").groupBy("bucket").applyInArrow(hear, "block int, bucket int, states binary")
 
+    hot = hot_minimizers(dealt)
+
     def candidates(table: pa.Table, replies: pa.Table):
         block = _block(_in_order(table))
-        keys, number, several = block.filter_keys(n_buckets)
-        return block, block.strings(_answers(keys, replies), number, several, n_buckets)
+        keys, several, number, _ = block.filter_keys(n_buckets)
+        return block, block.strings(((_answers(keys, replies) > 0) | several)[number], n_buckets, hot)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"bucket": [], "block": [], "chars": [], "passages": [], "minimizers": [], "owners": []}
