@@ -224,10 +224,16 @@ class Ranks:
                 for i in np.flatnonzero(right[:-1] == at[1:]) + 1:
                     keep[i] = not keep[i - 1]
                 at, right = at[keep], right[keep]
+            beyond = after[right]
+            next_too = beyond[:-1] == at[1:]
+            if next_too.any():  # one after the other, the first would meet the second's left part
+                met = token[beyond[:-1][next_too]]
+                early = self.pair_ranks(np.full(len(met), r), met) <= r
+                if early.any():
+                    odd.append(word[at[:-1][next_too][early]])
             token[at] = r
             alive[right] = False
             rank[right] = NEVER
-            beyond = after[right]
             after[at] = beyond
             has = beyond >= 0
             before[beyond[has]] = at[has]
