@@ -183,7 +183,7 @@ def linked_fingerprints(fps: DataFrame, reach: int, shard_rows: int = SHARD_ROWS
     ``fps`` has one column fp without repeats. The driver sees a sample of at most ``TREE_SAMPLE`` fingerprints.
     """
     n = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp", F.lit(1))).limit(TREE_SAMPLE).collect()
+    sample = scratch.bounded_sample(fps, ["fp"], TREE_SAMPLE, 1, n)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows)))) if n else 0
     tree = plan_tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), depth)
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
+
 ORDER = 6
 DISCOUNT = 3.0
 #: Labelled documents that are learned from at most: of each class for the counts, of both for the curve.
@@ -189,9 +191,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
-    known = known.withColumn("h", F.xxhash64("id")).withColumn("part", F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0, 2).otherwise(F.col("y")))
+    known = known.withColumn("part", F.when(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0, 2).otherwise(F.col("y")))
     limits = {0: MAX_TRAIN_DOCS, 1: MAX_TRAIN_DOCS, 2: MAX_CURVE_DOCS}
-    picks = {part: known.where(F.col("part") == part).orderBy("h", "id").limit(most).collect() for part, most in limits.items()}
+    sizes = {r["part"]: r["count"] for r in known.groupBy("part").count().collect()}
+    picks = {part: scratch.bounded_sample(known.where(F.col("part") == part), ["id"], most, 2, sizes.get(part, 0)) for part, most in limits.items()}
     even = min(len(picks[0]), len(picks[1])) or MAX_TRAIN_DOCS  # classes of one size, so that neither backs off more
     chosen = [*picks[0][:even], *picks[1][:even], *picks[2]]
     if not any(r["y"] == 1 for r in chosen) or not any(r["y"] == 0 for r in chosen):
