@@ -28,8 +28,9 @@ DISCOUNT = 3.0
 #: Labelled documents that are learned from at most: of each class for the counts, of both for the curve.
 MAX_TRAIN_DOCS = 3_000
 MAX_CURVE_DOCS = 8_000
-#: Characters of text that a task scores at a time.
-GROUP_CHARS = 16_000_000
+#: Characters of text that a task scores at a time, and rows that it adds to a group at once.
+GROUP_CHARS = 3_000_000
+SLICE_ROWS = 200
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -247,14 +248,16 @@ def scored(docs: DataFrame, model: Model, text: str, out, schema: str) -> DataFr
             held.clear()
             texts.clear()
 
-        for batch in batches:
-            held.append(batch)
-            more = [x or "" for x in batch.column(at).to_pylist()]
-            texts.extend(more)
-            chars += sum(map(len, more))
-            if chars >= GROUP_CHARS:
-                yield from flush()
-                chars = 0
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(begin, SLICE_ROWS)
+                held.append(batch)
+                more = [x or "" for x in batch.column(at).to_pylist()]
+                texts.extend(more)
+                chars += sum(map(len, more))
+                if chars >= GROUP_CHARS:
+                    yield from flush()
+                    chars = 0
         if held:
             yield from flush()
 
