@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import EngineConfig, ProgressEvent, RunOptions, Secret, assert_environment
-from ..errors import InvalidReplacementValue
+from ..errors import InvalidReplacementValue, PalimpsestError
 from ..functions.jsonpaths import JsonPaths
 from ..functions.prng import Mersenne, cell_seed
 from ..functions.scalars import canonical
@@ -40,7 +40,7 @@ class Engine:
 
     def targets(self, options: RunOptions) -> list[Target]:
         """Models first, then tables; a choice of targets is one of models."""
-        models = [Target(name, getattr(rules, "table", name), rules, getattr(rules, "key_name", None)) for name, rules in self.config.models.items()]
+        models = [Target(name, (rules.table if isinstance(rules, RuleSet) else None) or name, rules, rules.key_name if isinstance(rules, RuleSet) else None) for name, rules in self.config.models.items()]
         if options.targets is not None:
             return [t for t in models if t.label in options.targets]
         return models + [Target(f"table:{name}", name, rules) for name, rules in self.config.tables.items()]
@@ -64,13 +64,15 @@ class Engine:
         identities = {t.label: resolve_identity(self.frames[t.table], t, t.rules, self.catalog.tables[t.table]) for t in ruled}
         placed = {t.label: with_position(self.frames[t.table], identities[t.label].columns, "__row") for t in ruled}
         mappings = {ns: self._mapping(d, ruled, placed) for ns, d in spaces.items() if self._unique_bound(ns, ruled)}
-        report = RunReport(options.dry_run)
+        report, begun = RunReport(options.dry_run), dict(self.frames)
         for t in targets:
             if report.failed:
                 report.not_attempted.append(t.label)
             elif t.rules is None:
                 report.targets.append(TargetReport(t.label, t.table, skipped="no-sanitizer"))
             else:
+                if self.frames[t.table] is not begun[t.table]:  # an earlier target has rewritten this table
+                    placed[t.label] = with_position(self.frames[t.table], identities[t.label].columns, "__row")
                 one = self._run_target(t, t.rules, identities[t.label], placed[t.label], mappings, options)
                 one.fk_enforcement = not any(t.table == table for g in groups for table, _ in g) or options.dry_run
                 report.targets.append(one)
@@ -248,7 +250,8 @@ class Engine:
         if isinstance(definition, Expression):
             return definition.fn(old), fine
         if isinstance(definition, PerRow):
-            return self._per_row(definition, frame, old), fine
+            done = self._per_row(definition, frame, old)
+            return done["value"], done["error"]
         value = validate.stored(definition)
         return F.lit(value) if value is not None else F.lit(None).cast(kind), fine
 
@@ -276,12 +279,24 @@ class Engine:
 
     @staticmethod
     def _per_row(definition: PerRow, frame: DataFrame, old: Column) -> Column:
+        """A struct of value and error. Of an exception only its class is told: its message may hold the row's values."""
         fields = [c for c in frame.columns if not c.startswith("__")]
 
-        @F.pandas_udf(T.StringType())
-        def call(values: pd.Series, rows: pd.DataFrame) -> pd.Series:
+        @F.pandas_udf(jsondoc.RESULT)
+        def call(values: pd.Series, rows: pd.DataFrame) -> pd.DataFrame:
             records = rows.astype(object).where(rows.notna(), None).to_dict("records")
-            out = [definition.fn(None if pd.api.types.is_scalar(v) and pd.isna(v) else v, r) for v, r in zip(values, records)]
-            return pd.Series([None if x is None else str(validate.stored(x)) for x in out], dtype=object)
+            made, errors = [], []
+            for v, r in zip(values, records):
+                try:
+                    x = definition.fn(None if pd.api.types.is_scalar(v) and pd.isna(v) else v, r)
+                    made.append(None if x is None else str(validate.stored(x)))
+                    errors.append(None)
+                except PalimpsestError as e:
+                    made.append(None)
+                    errors.append(str(e))
+                except Exception as e:  # any failure of a caller's function is an error of its row
+                    made.append(None)
+                    errors.append(f"{type(e).__name__} (message withheld)")
+            return pd.DataFrame({"value": pd.Series(made, dtype=object), "error": pd.Series(errors, dtype=object)})
 
         return call(old, F.struct(*fields))

@@ -152,11 +152,15 @@ class Codec:
 
 @dataclass(frozen=True)
 class RuleSet:
+    """``table`` and ``key_name``: of a model whose table or key is named otherwise."""
+
     fields: Mapping[str, Any] = field(default_factory=dict)
     categorical: Sequence[str] = ()
     paging_key: Sequence[str] = ()
     mirrors: Mapping[str, Sequence[str]] = field(default_factory=dict)
     codecs: Mapping[str, Codec] = field(default_factory=dict)
+    table: str | None = None
+    key_name: str | None = None
 
 
 @dataclass(frozen=True)

@@ -177,6 +177,20 @@ def test_python_functions_see_the_row(spark):
     assert [r["note"] for r in e.frames["users"].orderBy("id").collect()] == ["admin:None", "member:note 1", "member:note 2", "guest:note 3"]
 
 
+def test_failures_of_callers_functions_are_withheld(spark):
+    e = engine(spark, {"users": users(4)}, {"users": RuleSet({"note": lambda value, row: 1 / row["id"]})})
+    report = e.run()
+    assert report.failed and report.targets[0].chunks[0].error == "note: ZeroDivisionError (message withheld)"
+
+
+def test_models_of_other_tables_and_without_rules(spark):
+    e = engine(spark, {"users": users(4)}, {"User": RuleSet({"note": "x"}, table="users", key_name="id"), "Other": None}, {"users": RuleSet({"role": "y"})}, catalog={"primary_keys": {}})
+    report = e.run()
+    assert [t.target for t in report.targets] == ["User", "Other", "table:users"] and report.targets[1].skipped == "no-sanitizer"
+    assert {(r["note"], r["role"]) for r in e.frames["users"].collect()} == {("x", "y")}
+    assert [t.target for t in e.run(RunOptions(targets=["User"])).targets] == ["User"]
+
+
 FK = {"foreign_keys": [ForeignKey("orders", ("user_id",), "users", ("id",)), ForeignKey("orders", ("code",), "users", ("email",))]}
 ORDERS = ([(1, 1, "c")], "id long, user_id long, code string")
 
