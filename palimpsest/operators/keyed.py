@@ -63,14 +63,16 @@ def unique_mapping(
         if holders is not None:
             first = first.unionByName(holders)
         claims = durable(first)
-        held = claims.groupBy("cmp").agg(F.min(F.struct("rank", "canonical", "probe", "output")).alias("b")).select("b.canonical", "b.rank", "b.probe", "b.output", "cmp")
-        new_holders = durable(held)
-        beaten = claims.join(new_holders.select("canonical"), "canonical", "left_anti").select("canonical", "rank", (F.col("probe") + 1).alias("probe"))
-        blocked = pending.join(claims.select("canonical"), "canonical", "left_anti").select("canonical", "rank", (F.col("probe") + PROBES_A_ROUND).alias("probe"))
-        waiting = durable(beaten.unionByName(blocked))
-        spent = waiting.where(F.col("probe") >= max_probes).select("canonical")
+        best = claims.groupBy("cmp").agg(F.min(F.struct("rank", "canonical")).alias("b")).select(F.col("b.canonical").alias("winner"))
+        judged = claims.join(best, F.col("canonical") == F.col("winner"), "left")
+        judged = judged.select("canonical", "rank", F.when(F.col("winner").isNull(), F.col("probe") + 1).otherwise(F.col("probe")).alias("probe"), "output", "cmp", F.col("winner").isNotNull().alias("held"))
+        none = F.lit(None).cast("string")
+        blocked = pending.join(claims.select("canonical"), "canonical", "left_anti").select("canonical", "rank", (F.col("probe") + PROBES_A_ROUND).alias("probe"), none.alias("output"), none.alias("cmp"), F.lit(False).alias("held"))
+        state = durable(judged.unionByName(blocked))
+        holders = state.where("held").select("canonical", "rank", "probe", "output", "cmp")
+        spent = state.where(~F.col("held") & (F.col("probe") >= max_probes)).select("canonical")
         lost = spent if lost is None else lost.unionByName(spent)
-        pending, holders = waiting.where(F.col("probe") < max_probes), new_holders
+        pending = state.where(~F.col("held") & (F.col("probe") < max_probes)).select("canonical", "rank", "probe")
     empty = inputs.select("canonical", F.lit(None).cast("string").alias("output")).limit(0)
     out = empty if holders is None else holders.select("canonical", "output")
     return out if lost is None else out.unionByName(lost.select("canonical", F.lit(None).cast("string").alias("output")))

@@ -89,15 +89,15 @@ def serial(inputs, forbidden, shape, probes=100):
     return out
 
 
-@pytest.mark.parametrize("n, pattern", [(60, "##"), (9, "#"), (10, "#"), (12, "#")])
+@pytest.mark.parametrize("n, pattern", [(60, "##"), (12, "#")])
 def test_unique_mapping_equals_serial_resolution(spark, n, pattern):
     inputs = [f"{i:0{len(pattern)}d}" if i < 5 else f"x{i}" for i in range(n)]
     random.Random(n).shuffle(inputs)
     forbidden = {x.lower() for x in inputs if len(x) == len(pattern)} if n == 60 else set()
     df = spark.createDataFrame([(x, i) for i, x in enumerate(inputs)], "canonical string, rank int")
     banned = spark.createDataFrame([(x,) for x in sorted(forbidden)], "key string")
-    got = {r["canonical"]: r["output"] for r in unique_mapping(df, banned, Secret(KEY), "ns", Pattern(pattern)).collect()}
-    want = serial(inputs, forbidden, Pattern(pattern))
+    got = {r["canonical"]: r["output"] for r in unique_mapping(df, banned, Secret(KEY), "ns", Pattern(pattern), max_probes=24).collect()}
+    want = serial(inputs, forbidden, Pattern(pattern), 24)
     # inputs of lower rank than the first that fails must agree; a run stops there
     fail = next((i for i, x in enumerate(inputs) if want[x] is None), n)
     assert {x: got[x] for x in inputs[:fail]} == {x: want[x] for x in inputs[:fail]}
