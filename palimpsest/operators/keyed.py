@@ -59,6 +59,9 @@ def unique_mapping(
         tried = pending.where(F.col("probe") < max_probes).select("canonical", "rank", step.alias("probe"))
         tried = tried.withColumn("output", keyed_column(key, namespace, shape, F.col("canonical"), F.col("probe"))).withColumn("cmp", comparison_key(F.col("output")))
         free = tried.where(F.col("cmp") != comparison_key(F.col("canonical"))).join(forbidden.select(F.col("key").alias("cmp")), "cmp", "left_anti")
+        if holders is not None:  # what a lower rank holds is lost: holders only ever give way to lower ranks
+            better = holders.select(F.col("cmp").alias("__cmp"), F.col("rank").alias("__rank"))
+            free = free.join(better, F.col("cmp") == F.col("__cmp"), "left").where(F.col("__rank").isNull() | (F.col("__rank") > F.col("rank")))
         first = free.groupBy("canonical", "rank").agg(F.min(F.struct("probe", "output", "cmp")).alias("b")).select("canonical", "rank", "b.*")
         if holders is not None:
             first = first.unionByName(holders)
