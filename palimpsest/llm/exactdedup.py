@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK_BYTES = 1024
+BLOCK_BYTES = 4096
 #: Rows of a range of the sort; the number of ranges follows the number of blocks.
-BLOCKS_PER_RANGE = 24_000
+BLOCKS_PER_RANGE = 12_000
 PAIRS_PER_RANGE = 500_000
 
 
