@@ -86,10 +86,10 @@ def name_rows(df: DataFrame, key: list[str], tie: list[str], ranges: int, label:
     return rows.join(F.broadcast(base), "__task").select(*payload, (F.col("__base") + F.col("__local")).alias("name"))
 
 
-def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, row: Column | None = None) -> DataFrame:
     """One row per document: doc_id, row (its own number), text_sha256, and (blocks, name), equal for equal texts alone."""
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).alias("doc_id"), content.alias("__bytes"), F.monotonically_increasing_id().alias("row"))
+    base = docs.select(F.col(id_col).alias("doc_id"), content.alias("__bytes"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length("__bytes") / block_bytes)).cast("int")
 
     def piece(i: Column) -> Column:
@@ -127,6 +127,14 @@ def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bloc
     return out.select("doc_id", "row", "text_sha256", "blocks", "name")
 
 
+def _with_tops(ids: DataFrame) -> DataFrame:
+    """``ids`` with the row that stays (__top: doc_id, row) and the rows (__n) of each group of equal texts; null for a text that is alone."""
+    ids = scratch.write(ids, "identities")
+    groups = ids.groupBy("blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("__top"), F.count(F.lit(1)).alias("__n"))
+    groups = scratch.write(groups.where("__n > 1").select(F.col("blocks").alias("__b"), F.col("name").alias("__name"), "__top", "__n"), "groups")
+    return ids.join(groups, (F.col("blocks") == F.col("__b")) & (F.col("name") == F.col("__name")), "left")
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -134,10 +142,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
     (a null doc_id is the smallest; among repeated rows of one doc_id exactly one stays). Other columns of the
     input, whatever their names, play no part. An empty table gives an empty table.
     """
-    ids = scratch.write(identities(docs, text, id_col, block_bytes), "identities")
-    groups = ids.groupBy("blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("__top"), F.count(F.lit(1)).alias("__n"))
-    groups = scratch.write(groups.where("__n > 1").select(F.col("blocks").alias("__b"), F.col("name").alias("__name"), "__top", "__n"), "groups")
-    joined = ids.join(groups, (F.col("blocks") == F.col("__b")) & (F.col("name") == F.col("__name")), "left")
+    joined = _with_tops(identities(docs, text, id_col, block_bytes))
     return joined.select(
         "doc_id",
         F.when(F.col("__n").isNull(), F.col("doc_id")).otherwise(F.col("__top.doc_id")).alias("keep_id"),
@@ -148,6 +153,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
 
 
 def keep_distinct(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, all columns unchanged. doc_id identifies a row here."""
-    gone = exact_dedup(docs, text, id_col).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, all columns unchanged. Rows are told apart by a number of their own: of repeated rows one stays."""
+    held = scratch.numbered(docs, "numbered")
+    gone = _with_tops(identities(held, text, id_col, row=F.col(scratch.ROW))).where("row <> __top.row").select(F.col("row").alias("__gone"))
+    return held.join(gone, F.col(scratch.ROW) == F.col("__gone"), "left_anti").drop(scratch.ROW)

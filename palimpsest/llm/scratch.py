@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: The column of :func:`numbered`.
+ROW = "__row"
+
 _own_root: str | None = None
 
 
@@ -42,6 +45,11 @@ def write(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written out with a number of its own for each row, so that all later plans see the same numbers."""
+    return write(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+
+
 def bounded_sample(df: DataFrame, keys: list[str], most: int, seed: int, count: int | None = None) -> list[Row]:
     """About ``most`` rows by a hash of their keys, never over, the same ones each time. No task returns more than its share."""
     n = df.count() if count is None else count

@@ -250,6 +250,11 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, reach: int = 4) -> DataFrame:
-    """The document of each component whose doc_id is its component_id, all columns unchanged."""
-    gone = near_dedup(docs, text, id_col, width, reach=reach).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component, all columns unchanged: that of the smallest doc_id, a null one last, and one alone of repeated rows."""
+    held = scratch.numbered(docs, "numbered")
+    found = near_dedup(held, text, scratch.ROW, width, reach=reach).select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__component"))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(scratch.ROW).alias("row"))
+    members = scratch.write(found.join(held.select(scratch.ROW, id_col), F.col("__member") == F.col(scratch.ROW)).select("__member", "__component", order.alias("__order")), "members")
+    first = members.groupBy("__component").agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__component").alias("__c"), "__first")
+    gone = members.join(first, F.col("__component") == F.col("__c")).where("__member <> __first.row").select(F.col("__member").alias("__gone"))
+    return held.join(gone, F.col(scratch.ROW) == F.col("__gone"), "left_anti").drop(scratch.ROW)

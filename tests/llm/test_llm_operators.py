@@ -214,6 +214,17 @@ def test_exact_dedup_equals_grouping(spark, block_bytes, monkeypatch):
     assert exactdedup.keep_distinct(docs).count() == len(groups)
 
 
+@pytest.mark.parametrize("keep", [exactdedup.keep_distinct, simhash.keep_one])
+def test_stages_keep_one_of_repeated_rows_and_null_ids(spark, keep):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, c), (3, c), (None, d), (None, d), (None, a), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = keep(docs)
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((r["text"] or "", -1 if r["doc_id"] is None else r["doc_id"]) for r in got.collect()) == sorted([(a, 1), (b, 2), (c, 3 if keep is exactdedup.keep_distinct else 2), (d, -1), ("", 7)])
+
+
 def test_exact_dedup_of_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
     rows = exactdedup.exact_dedup(docs).collect()
