@@ -11,10 +11,12 @@ from palimpsest.llm import bpe, exactdedup, mixing, scratch, simhash, toxicity
 
 MIX_SEED = 7
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Near-duplicate stages take five words. Fingerprints of texts of similarity 0.8 or more, as the angle between shingle counts shows
-#: it, differ in some 10 of 64 bits; of those the stage links what differs in 6 or fewer, where unrelated texts practically never meet.
+#: The near-duplicate stage links texts whose sets of five words have a Jaccard similarity of ``LEAST`` or more. Fingerprints of a pair at 0.8 differ
+#: in 9.7 of 64 bits on average, so candidates differ in ``REACH`` of 64 bits and ``BOTH`` of 128; the sets then decide.
 SHINGLE_WORDS = 5
-REACH = 6
+REACH = 16
+BOTH = 30
+LEAST = 0.8
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +30,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs, width=SHINGLE_WORDS, reach=REACH)
+    return simhash.keep_one(docs, width=SHINGLE_WORDS, reach=REACH, both=BOTH, least=LEAST)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,10 +86,10 @@ def name_rows(df: DataFrame, key: list[str], tie: list[str], ranges: int, label:
     return rows.join(F.broadcast(base), "__task").select(*payload, (F.col("__base") + F.col("__local")).alias("name"))
 
 
-def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, row: Column | None = None) -> DataFrame:
+def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: doc_id, row (its own number), text_sha256, and (blocks, name), equal for equal texts alone."""
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).alias("doc_id"), content.alias("__bytes"), (F.monotonically_increasing_id() if row is None else row).alias("row"))
+    base = docs.select(F.col(id_col).alias("doc_id"), content.alias("__bytes"), F.monotonically_increasing_id().alias("row"))
     n_blocks = F.greatest(F.lit(1), F.ceil(F.length("__bytes") / block_bytes)).cast("int")
 
     def piece(i: Column) -> Column:
@@ -153,7 +153,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", blo
 
 
 def keep_distinct(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_dedup` keeps, all columns unchanged. Rows are told apart by a number of their own: of repeated rows one stays."""
-    held = scratch.numbered(docs, "numbered")
-    gone = _with_tops(identities(held, text, id_col, row=F.col(scratch.ROW))).where("row <> __top.row").select(F.col("row").alias("__gone"))
-    return held.join(gone, F.col(scratch.ROW) == F.col("__gone"), "left_anti").drop(scratch.ROW)
+    """The rows of ``docs`` that :func:`exact_dedup` keeps, all columns unchanged. Rows are told apart by doc_id and text; of repeated rows one stays."""
+    keys = _with_tops(identities(docs, text, id_col)).where("__n > 1").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    keys = scratch.write(keys.agg(F.max(F.col("row") == F.col("__top.row")).alias("stays"), F.count(F.lit(1)).alias("n")), "judged")
+    return scratch.without(docs, keys.where("not stays"), keys.where("stays and n > 1"), text, id_col)

@@ -9,12 +9,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-#: The column of :func:`numbered`.
-ROW = "__row"
-
 _own_root: str | None = None
 
 
@@ -45,9 +42,21 @@ def write(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written out with a number of its own for each row, so that all later plans see the same numbers."""
-    return write(df.withColumn(ROW, F.monotonically_increasing_id()), label)
+def digest(text: str) -> Column:
+    """SHA-256 of a text, in hex; a null text counts as empty."""
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
+def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, text: str, id_col: str) -> DataFrame:
+    """``docs`` without the rows of ``gone``, and with one row alone for each of ``repeated``; both hold id and :func:`digest` of text, as __id and __sha.
+
+    Of repeated rows it doesn't matter which one stays. Nothing but these keys is written or dealt out.
+    """
+    named = docs.withColumn("__text_sha", digest(text))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
+    alone = named.join(gone.select("__id", "__sha").union(repeated.select("__id", "__sha")), same, "left_anti")
+    once = named.join(repeated.select("__id", "__sha"), same, "left_semi").dropDuplicates([id_col, "__text_sha"])
+    return alone.unionByName(once).drop("__text_sha")
 
 
 def bounded_sample(df: DataFrame, keys: list[str], most: int, seed: int, count: int | None = None) -> list[Row]:

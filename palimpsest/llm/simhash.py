@@ -25,6 +25,8 @@ TREE_SAMPLE = 20_000
 SHARD_ROWS = 32_768
 #: Fingerprints of a tile that is compared in full.
 TILE = 1_024
+#: Aimed-at shingle sets of a cell; two cells meet in a task.
+CELL = 256
 #: Children of a node in the trees that carry links.
 FANOUT = 8
 
@@ -144,8 +146,11 @@ class Linked:
         return order[child], order[first[child] + (place[child] - 1) // FANOUT]
 
 
-def link_within(home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All fingerprints, and tree edges (as indexes) over the links home-home and home-guest."""
+def link_within(home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1, second: np.ndarray | None = None, both: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All fingerprints, and tree edges (as indexes) over the links home-home and home-guest.
+
+    With ``second``, a further fingerprint of each point, a link differs in ``both`` bits of the two at most.
+    """
     points = np.concatenate([home, guests])
     linked, rng = Linked(len(points)), np.random.default_rng(seed)
 
@@ -156,7 +161,11 @@ def link_within(home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1)
                 columns = q[m : m + TILE]
                 near = np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= reach
                 i, j = np.nonzero(near)
-                linked.add(rows[i], columns[j])
+                i, j = rows[i], columns[j]
+                if second is not None:
+                    apart = np.bitwise_count(points[i] ^ points[j]) + np.bitwise_count(second[i] ^ second[j])
+                    i, j = i[apart <= both], j[apart <= both]
+                linked.add(i, j)
 
     def search(h: np.ndarray, q: np.ndarray) -> None:
         """Links of home points ``h`` (which ``q`` holds too) with ``q``."""
@@ -182,10 +191,16 @@ def linked_fingerprints(fps: DataFrame, reach: int, shard_rows: int = SHARD_ROWS
 
     ``fps`` has one column fp without repeats. The driver sees a sample of at most ``TREE_SAMPLE`` fingerprints.
     """
+    return _linked(fps, reach, shard_rows, None)
+
+
+def _linked(fps: DataFrame, reach: int, shard_rows: int, both: int | None) -> DataFrame:
+    """As :func:`linked_fingerprints`; with ``both``, fps has fp, second and node too, links are as in :func:`link_within`, and edges are of nodes."""
     n = fps.count()
     sample = scratch.bounded_sample(fps, ["fp"], TREE_SAMPLE, 1, n)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows)))) if n else 0
     tree = plan_tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), depth)
+    extra = [] if both is None else ["second", "node"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,15 +212,24 @@ def linked_fingerprints(fps: DataFrame, reach: int, shard_rows: int = SHARD_ROWS
             other = own[idx]
             goes = home | ((other < shard) == ((other + shard) % 2 == 1)) & (other != shard)
             idx, shard, home = idx[goes], shard[goes], home[goes]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(points[idx].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            carried = [batch.column(c).take(pa.array(idx)) for c in extra]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(points[idx].view(np.int64)), pa.array(home), *carried], names=["shard", "fp", "home", *extra])
 
     def search(table: pa.Table) -> pa.Table:
+        if both is not None:
+            home = table.column("home").to_numpy().astype(bool)
+            order = np.r_[np.flatnonzero(home), np.flatnonzero(~home)]
+            points, second, node = (table.column(c).to_numpy().astype(np.int64)[order] for c in ("fp", "second", "node"))
+            own = int(home.sum())
+            _, a, b = link_within(points[:own].view(np.uint64), points[own:].view(np.uint64), reach, second=second.view(np.uint64), both=both)
+            return pa.table({"a": node[a], "b": node[b]})
         points = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         home = table.column("home").to_numpy().astype(bool)
         points, a, b = link_within(np.sort(points[home]), points[~home], reach)
         return pa.table({"a": points[a].view(np.int64), "b": points[b].view(np.int64)})
 
-    return fps.mapInArrow(deal, "shard int, fp bigint, home boolean").groupBy("shard").applyInArrow(search, "a bigint, b bigint")
+    layout = "shard int, fp bigint, home boolean" + "".join(f", {c} bigint" for c in extra)
+    return fps.select("fp", *extra).mapInArrow(deal, layout).groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,12 +273,129 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, reach: int = 4) -> DataFrame:
-    """One row of each component, all columns unchanged: that of the smallest doc_id, a null one last, and one alone of repeated rows."""
-    held = scratch.numbered(docs, "numbered")
-    found = near_dedup(held, text, scratch.ROW, width, reach=reach).select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__component"))
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(scratch.ROW).alias("row"))
-    members = scratch.write(found.join(held.select(scratch.ROW, id_col), F.col("__member") == F.col(scratch.ROW)).select("__member", "__component", order.alias("__order")), "members")
-    first = members.groupBy("__component").agg(F.min("__order").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col("__component").alias("__c"), "__first")
-    gone = members.join(first, F.col("__component") == F.col("__c")).where("__member <> __first.row").select(F.col("__member").alias("__gone"))
-    return held.join(gone, F.col(scratch.ROW) == F.col("__gone"), "left_anti").drop(scratch.ROW)
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct word shingles of a text, sorted; none for a text without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[i : i + width]), seed) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65_536):
+        bits += np.unpackbits(hashes[k : k + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(bits * 2 > len(hashes)).tobytes(), "big")
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, int, int]:
+    """Two SimHashes of a set of shingles, and a digest that names the set."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)  # the shingle's bits anew
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(hashes), _majority(mixed ^ (mixed >> np.uint64(31))), xxhash.xxh64_intdigest(hashes.tobytes())
+
+
+def similar_components(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each set the number of the first of its component; sets link if their Jaccard similarity is ``least`` or more."""
+    sizes = np.fromiter((len(x) for x in sets), np.int64, len(sets))
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    begin = np.cumsum(sizes) - sizes
+    label, open_ = np.full(len(sets), -1), np.arange(len(sets))
+    while len(open_):
+        root, queue, open_ = open_[0], [open_[0]], open_[1:]
+        label[root] = root
+        while queue and len(open_):
+            x = queue.pop()
+            fits = open_[np.minimum(sizes[open_], sizes[x]) >= least * np.maximum(sizes[open_], sizes[x])]
+            if not len(fits):
+                continue
+            if not sizes[x]:
+                common, joined = np.zeros(len(fits)), np.zeros(len(fits))
+            else:
+                n = sizes[fits]
+                at = np.cumsum(n) - n
+                own = flat[np.repeat(begin[fits] - at, n) + np.arange(n.sum())]
+                place = np.minimum(np.searchsorted(sets[x], own), sizes[x] - 1)
+                common = np.add.reduceat((sets[x][place] == own).astype(np.int64), at)
+                joined = n + sizes[x] - common
+            near = fits[common >= least * joined]  # two empty sets are alike
+            label[near] = root
+            queue.extend(near.tolist())
+            open_ = open_[label[open_] < 0]
+    return label
+
+
+def cell_edges(sets: list[np.ndarray], cell: np.ndarray, met: tuple[int, int], cells: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Tree edges (as indexes) for one cell alone, or for what two cells link: trees within a cell come from one of its meetings."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    own = np.arange(len(sets))
+    for c in np.unique(cell):
+        at = np.flatnonzero(cell == c)
+        own[at] = at[similar_components([sets[i] for i in at], least)]
+        partner = c + 1 if c + 1 < cells else c - 1
+        if cells == 1 or partner in met:
+            part = Linked(0)
+            part.label = own[at]
+            a, b = part.tree_edges()
+            found.append((at[a], at[b]))
+    if cells > 1:
+        heads = np.flatnonzero(own == np.arange(len(sets)))
+        across = Linked(0)
+        across.label = similar_components(sets, least)[heads]
+        a, b = across.tree_edges()
+        found.append((heads[a], heads[b]))
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def similar_sets(docs: DataFrame, text: str, id_col: str, width: int, reach: int, both: int, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """__id, __sha (of the text) and root, for rows in components of more than one row.
+
+    Texts link if their shingle sets have a Jaccard similarity of ``least`` or more. Candidates are sets whose fingerprints differ in ``reach`` bits
+    or fewer, and with a second fingerprint in ``both``; their components are dealt into cells of bounded size, each two of which meet
+    in one task, where the sets themselves are compared. A component's root is the smallest name of a set in it.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(shingle_hashes(x.as_py(), width)) for x in batch.column(2)]
+            columns = np.array(found, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in columns)], names=["__id", "__sha", "fp", "second", "node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([shingle_hashes(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2), batch.column(3)], names=["node", "hashes", "group", "cells"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, cell = table.column("node").to_numpy(), table.column("cell").to_numpy()
+        a, b = cell_edges([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()], cell, (table.column("low")[0].as_py(), table.column("high")[0].as_py()), table.column("cells")[0].as_py(), least)
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    content = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    source = docs.select(F.col(id_col).alias("__id"), scratch.digest(text).alias("__sha"), content.alias("text"))
+    drawn = scratch.write(source.mapInArrow(sketches, f"__id {kind}, __sha string, fp bigint, second bigint, node bigint"), "sketches")
+    nodes = scratch.write(drawn.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("__sha").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    groups = components(_linked(nodes.select("fp", "second", "node"), reach, shard_rows, both)).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
+    held = scratch.write(nodes.join(groups, F.col("node") == F.col("in_group")).select("first", F.col("node").alias("member"), "group"), "candidates")
+    cells = held.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).select(F.col("group").alias("of"), "cells")
+    texts = source.join(held.join(cells, F.col("group") == F.col("of")), F.col("__sha") == F.col("first")).select("member", "text", "group", "cells").dropDuplicates(["member"])
+    own = scratch.write(texts.mapInArrow(sets, "node bigint, hashes binary, group bigint, cells int"), "shingle-sets")
+    own = own.withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int"))
+    met = F.when(F.col("cells") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("cells") - 1), lambda i: i != F.col("cell")))
+    dealt = own.withColumn("other", F.explode(met)).withColumn("low", F.least("cell", "other")).withColumn("high", F.greatest("cell", "other"))
+    roots = components(dealt.groupBy("group", "low", "high").applyInArrow(meet, "a bigint, b bigint")).select(F.col("node").alias("linked"), "root")
+    named = nodes.join(roots, F.col("node") == F.col("linked"), "left").where("n > 1 or root is not null").select(F.col("node").alias("linked"), F.coalesce("root", "node").alias("root"))
+    return drawn.join(named, F.col("node") == F.col("linked")).select("__id", "__sha", "root")
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, reach: int = 16, both: int = 30, least: float = 0.8) -> DataFrame:
+    """One row of each component of :func:`similar_sets`, all columns unchanged: that of the smallest doc_id, a null one last, and one alone of repeated rows."""
+    order = F.struct(F.col("__id").isNull().alias("none"), "__id", "__sha")
+    members = similar_sets(docs, text, id_col, width, reach, both, least).groupBy("__id", "__sha").agg(F.min("root").alias("root"), F.count(F.lit(1)).alias("n"))
+    members = scratch.write(members.withColumn("order", order), "members")
+    first = members.groupBy("root").agg(F.min("order").alias("first")).select(F.col("first.__id").alias("id"), F.col("first.__sha").alias("sha"))
+    stays = F.col("__id").eqNullSafe(F.col("id")) & (F.col("__sha") == F.col("sha"))
+    return scratch.without(docs, members.join(first, stays, "left_anti"), members.where("n > 1").join(first, stays, "left_semi"), text, id_col)

@@ -52,6 +52,36 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     assert got == Counter({k: n for k, n in want.items() if n})
 
 
+def shingles5(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_equal_brute_force_jaccard(spark, monkeypatch):
+    """Copies with changed words, at similarities around 0.8; the bound is that of brute force over shingle sets, not of fingerprints."""
+    monkeypatch.setattr("palimpsest.llm.simhash.CELL", 40)
+    rng, texts = random.Random(21), []
+    for i in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        copy = list(base)
+        for at in rng.sample(range(400), rng.choice([2, 4, 6, 8, 9, 12, 16])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(copy)]
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    texts += [" ".join([f"v{i}", *base[1:]]) for i in range(150)]  # one group over several cells
+    sets = [shingles5(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    low = [(i, j) for i, j in near if len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j])]
+    assert len(low) >= 10
+    label = list(range(len(sets)))
+    for i, j in sorted(near):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {i for i in range(len(sets)) if label[i] == i}
+
+
 def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
