@@ -3,7 +3,7 @@
 Every element of the document tree has a text density: its characters per tag, adjusted by the share of them
 that links hold, in relation to the whole body. The sum of the densities of an element's children is highest for the element that
 holds the main text directly. The threshold is the least density on the path from the body to the element of
-greatest density sum; elements below it are pruned from the chosen subtree.
+greatest density sum. From the body down, each element that reaches it gives its subtree of greatest density sum; link-only blocks below it are left out.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"
 NEVER = frozenset(
     "head nav footer aside form script style noscript template iframe object svg canvas button select textarea input menu dialog title".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words of class, id and role that mark what stands beside the main text.
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*"
@@ -160,20 +161,60 @@ def measure(root: Element) -> list[Element]:
     return order
 
 
-def choose(root: Element) -> tuple[Element, float]:
-    """The subtree of the main text and the density threshold."""
+def choose(root: Element) -> tuple[list[Element], float]:
+    """The subtrees of the main text, in page order, and the density threshold.
+
+    From the body down, each element no less dense than the threshold is followed, and the subtree of greatest density sum
+    in it is taken. On a page whose best subtree is in an article or main, all articles and mains that are dense enough are taken whole.
+    """
     order = measure(root)
+
+    def inner(x: Element) -> list[Element]:
+        return [n for n in x.nodes if isinstance(n, Element) and not n.pruned]
+
     # text that stands in no child element counts as a child of its own
-    best = max(order, key=lambda x: x.total + (x.chars - sum(n.chars for n in x.nodes if isinstance(n, Element) and not n.pruned)))
-    threshold, x = best.density, best
-    while x is not None:
-        threshold, x = min(threshold, x.density), x.parent
-    outer = _within(best)
-    # the subtree of maximum sum among those on the path that are no less dense than the threshold
-    chosen = outer or best
-    while outer is None and chosen.name not in BLOCK and chosen.parent is not None:
-        chosen = chosen.parent
-    return chosen, threshold
+    sums = {id(x): x.total + (x.chars - sum(n.chars for n in inner(x))) for x in order}
+    best_of: dict[int, Element] = {}
+    for x in reversed(order):
+        best = x
+        for n in inner(x):
+            if sums[id(best_of[id(n)])] > sums[id(best)]:
+                best = best_of[id(n)]
+        best_of[id(x)] = best
+    best = best_of[id(root)]
+    def plain(x: Element) -> float:
+        return x.chars / max(1, x.tags)
+
+    threshold, plain_threshold, at = best.density, plain(best), best
+    while at is not None:
+        threshold, plain_threshold, at = min(threshold, at.density), min(plain_threshold, plain(at)), at.parent
+
+    def dense(x: Element) -> bool:
+        # composite density grows with an element's size: a short lead reaches the path's characters per tag alone
+        return x.density >= threshold or plain(x) >= plain_threshold and x.chars >= 2 * x.link_chars
+
+    if _within(best) is not None:
+        return [x for x in order if x.name in ("article", "main") and _within(x.parent) is None and dense(x)], threshold
+    taken: set[int] = set()
+    followed: set[int] = set()
+    for x in order:
+        if x.name in HEADINGS and x.parent is not None and id(x.parent) in followed and x.chars > 2 * x.link_chars:
+            taken.add(id(x))  # a headline is short, so never dense
+        elif x.chars and dense(x) and (x is root or x.parent is not None and id(x.parent) in followed):
+            followed.add(id(x))
+            chosen = best_of[id(x)]
+            while chosen.name not in BLOCK and chosen.parent is not None:
+                chosen = chosen.parent
+            taken.add(id(chosen))
+    # an element within a taken one goes with it
+    out, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if id(x) in taken:
+            out.append(x)
+        else:
+            stack.extend(reversed(inner(x)))
+    return out, threshold
 
 
 def blocks_of(x: Element, threshold: float = 0.0) -> list[str]:
@@ -209,7 +250,8 @@ def main_text(source: str | None) -> str:
     """The article of a page: its blocks joined by a blank line. Empty for an empty page, or one without text."""
     if not source:
         return ""
-    return "\n\n".join(blocks_of(*choose(parse(source))))
+    chosen, threshold = choose(parse(source))
+    return "\n\n".join(b for x in chosen for b in blocks_of(x, threshold))
 
 
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

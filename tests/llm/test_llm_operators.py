@@ -373,6 +373,17 @@ def test_page_without_an_article_element():
     assert htmltext.main_text(page) == "\n\n".join([" ".join(LONG.split())] * 3)
 
 
+def test_text_split_over_siblings():
+    p, body = f"<p>{LONG}</p>", " ".join(LONG.split())
+    page = "<body><div id=wrap>" + f"<section>{p * 10}</section>" * 3 + "</div></body>"
+    assert htmltext.main_text(page) == "\n\n".join([body] * 30)
+    page = f"<body><div class=page><h1>A headline of some length, as they are</h1><div class=lead>{LONG}</div><div class=text>{p * 20}</div></div></body>"
+    assert htmltext.main_text(page) == "\n\n".join(["A headline of some length, as they are", *[body] * 21])
+    page = "<body><main>" + f"<article><h2>Part</h2>{p * 3}</article>" * 3 + "</main></body>"
+    assert htmltext.main_text(page) == "\n\n".join(["Part", *[body] * 3] * 3)
+    assert htmltext.main_text(page.replace("main", "div")) == "\n\n".join(["Part", *[body] * 3] * 3)
+
+
 def test_html_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>a<p>b</p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<script>only"), (6, "u", "<p>&lt;x&gt; &bogus; 😀</p>")]
     rows = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
