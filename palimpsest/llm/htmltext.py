@@ -34,7 +34,7 @@ NEVER = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Words of class, id and role that mark what stands beside the main text.
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*"
+    r"(?:^|[\s_-])(?<!(?<![^\s_-])has[_-])(?<!(?<![^\s_-])no[_-])(?<!(?<![^\s_-])with[_-])(?<!(?<![^\s_-])without[_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|alert|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|widget\w*"
     r"|comments?|disqus|replies|footer|masthead|site-header|page-header|share\w*|social|related|recommend\w*|newsletter|subscri\w*|pagination|pager|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -46,27 +46,43 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("chars", "density", "link_chars", "link_tags", "name", "nodes", "parent", "pruned", "tags", "total")
+    __slots__ = ("chars", "density", "doubted", "link_chars", "link_tags", "name", "nodes", "parent", "pruned", "tags", "total")
 
-    def __init__(self, name: str, parent: Element | None, pruned: bool = False) -> None:
-        self.name, self.parent, self.pruned = name, parent, pruned
+    def __init__(self, name: str, parent: Element | None, pruned: bool = False, doubted: bool = False) -> None:
+        self.name, self.parent, self.pruned, self.doubted = name, parent, pruned, doubted
         self.nodes: list[Element | str] = []
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _aside(name: str, attrs: str) -> bool:
+def _aside(name: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element stands beside the main text for sure, and whether the words of its class, id or role say so."""
     if name in NEVER:
-        return True
+        return True, False
     if not attrs or attrs.isspace():
-        return False
+        return False, False
+    doubted = False
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return True, False
         if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and ASIDE.search(value):
-            return True
-    return False
+            doubted = True
+    return False, doubted
+
+
+def _settle(root: Element) -> None:
+    """Prune what its words say stands aside, unless it holds an article, main or h1 or most of the body's text."""
+    order = _ordered(root)
+    held: dict[int, tuple[int, bool]] = {}
+    for x in reversed(order):
+        chars = sum(len(n) - n.count(" ") for n in x.nodes if isinstance(n, str) and not n.isspace())
+        inner = [held[id(n)] for n in x.nodes if isinstance(n, Element) and not n.pruned]
+        held[id(x)] = chars + sum(c for c, _ in inner), x.name in ("article", "main", "h1") or any(m for _, m in inner)
+    for x in order:
+        chars, marked = held[id(x)]
+        if x.doubted and not marked and 2 * chars <= held[id(root)][0]:
+            x.pruned = True
 
 
 def parse(source: str) -> Element:
@@ -106,7 +122,7 @@ def parse(source: str) -> Element:
                 x = x.parent
             if x is not None and x.name in CLOSED_BY_SAME[name] and x.parent is not None:
                 at = x.parent
-        new = Element(name, at, _aside(name, m["attrs"]))
+        new = Element(name, at, *_aside(name, m["attrs"]))
         if name == "header" and _within(at) is None:
             new.pruned = True
         at.nodes.append(new)
@@ -117,6 +133,7 @@ def parse(source: str) -> Element:
             pos = close.end() if close else end
             continue
         at = new
+    _settle(root)
     return root
 
 

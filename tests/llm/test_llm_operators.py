@@ -384,6 +384,15 @@ def test_text_split_over_siblings():
     assert htmltext.main_text(page.replace("main", "div")) == "\n\n".join(["Part", *[body] * 3] * 3)
 
 
+def test_layout_wrappers_are_no_asides():
+    body = " ".join(LONG.split())
+    for word in ("layout has-sidebar", "content no-sidebar", "post no-comments", "with-comments", "sidebar layout", "social"):
+        for inner in (f"<article><p>{LONG}</p></article>", f"<h1>{LONG}</h1>", f"<p>{LONG}</p>"):
+            assert htmltext.main_text(f"<body><div class='{word}'>{inner}</div></body>") == body
+    page = f"<body><div class=text><p>{LONG * 2}</p></div><div class='right sidebar'><p>{LONG}</p></div><div class=casino-ads>{LONG}</div></body>"
+    assert htmltext.main_text(page.replace("casino-ads", "casino-ads no-x")) == htmltext.main_text(page) == " ".join((LONG * 2).split())
+
+
 def test_html_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>a<p>b</p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<script>only"), (6, "u", "<p>&lt;x&gt; &bogus; 😀</p>")]
     rows = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
