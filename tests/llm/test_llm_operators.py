@@ -533,3 +533,15 @@ def test_training_lowers_the_loss():
     before = lm.gradients(lm.fresh(), inputs, targets)[0]
     after = lm.gradients(lm.train(lm.fresh(), inputs, targets, 5e-3), inputs, targets)[0]
     assert after < 0.7 * before
+
+
+def test_every_training_document_is_learned_from(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks_file = f.read()
+    rng = random.Random(6)
+    for i in range(4):
+        text = prose(rng, 6000).encode()
+        assert len(text) > lm.SAMPLE_BYTES  # the driver's sample has none of it
+        docs = spark.createDataFrame([(i, text, False), (100 + i, text, True)], "doc_id long, text binary, held_out boolean")
+        learned, inputs = lm.learn(docs, ranks_file), lm.training_windows([text], bpe.Ranks.cached(ranks_file, lm.BEGIN))
+        assert lm.gradients(learned, *inputs)[0] < lm.gradients(lm.fresh(), *inputs)[0]
