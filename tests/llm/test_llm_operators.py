@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -322,36 +323,110 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_documents(docs.limit(0), none).count() == 0
 
 
-def test_backoff_table_equals_interpolation():
-    """The stored differences against the recursion, written out for one context at a time."""
-    words = ["abab", "abba", "baab", "cab", "bac", "aaaa"]
-    counts = np.array([[9, 2, 7, 1, 0, 5], [1, 8, 0, 6, 9, 5]], float)
-    model = toxicity.train(words, counts)
-    grams = [[Counter() for _ in range(toxicity.ORDER + 1)] for _ in (0, 1)]
-    bigrams = set()
+def written_out(words, counts):
+    """The recursion for one n-gram at a time: (log P under toxic less that under ordinary) of a word, and the mixture's."""
+    k = toxicity.ORDER
+    grams = [[Counter() for _ in range(k + 1)] for _ in (0, 1)]  # documents of each class, as the longest n-gram of a place
+    pooled, lefts, runs = [Counter() for _ in range(k + 1)], [{} for _ in range(k + 1)], [Counter() for _ in range(k + 1)]
     for w, n in zip(words, counts.T):
         s = f" {w} "
         for i in range(1, len(s)):
-            bigrams.add((s[i - 1], s[i]))
-            for k in range(2, min(toxicity.ORDER, i + 1) + 1):
-                for c in (0, 1):
-                    grams[c][k][s[i - k + 1 : i + 1]] += n[c]
-    ends = Counter(b for _, b in bigrams)
-
-    def prob(c, context, ch):
-        if not context:
-            return ends[ch] / len(bigrams)
-        lower, k = prob(c, context[1:], ch), len(context) + 1
-        seen = {g: n for g, n in grams[c][k].items() if g[:-1] == context and n}
-        total = sum(seen.values())
-        if not total:
-            return lower
-        return max(seen.get(context + ch, 0) - toxicity.DISCOUNT, 0) / total + sum(min(n, toxicity.DISCOUNT) for n in seen.values()) / total * lower
-
-    for w in words:
-        s = f" {w} "
-        want = sum(math.log(prob(1, s[max(0, i - toxicity.ORDER + 1) : i], s[i])) - math.log(prob(0, s[max(0, i - toxicity.ORDER + 1) : i], s[i])) for i in range(1, len(s)))
-        assert abs(model.word_scores([w])[0] - want) < 1e-4
+            for m in range(1, k + 1):
+                if m > i + 1:
+                    continue
+                g = s[i - m + 1 : i + 1]
+                begins = i + 1 == m
+                if begins or m == k:
+                    for c in (0, 1):
+                        grams[c][m][g] += n[c]
+                if begins:
+                    runs[m][g] += n.sum()
+                elif m == k:
+                    pooled[m][g] += n.sum()
+                else:
+                    lefts[m].setdefault(g, set()).add(s[i - m])
+    for m in range(1, k + 1):
+        for g, found in lefts[m].items():
+            pooled[m][g] = len(found)
+        if m < k:
+            pooled[m].update({g: n - pooled[m][g] for g, n in runs[m].items()})
+        else:
+            pooled[m].update(runs[m])
+
+    def share(table, g):
+        d = toxicity.discounts(np.array([n for n in table.values() if n], float))
+        off = {x: min(d[min(int(n), 3)], n) for x, n in table.items() if x[:-1] == g[:-1] and n}
+        total = sum(table[x] for x in off)
+        return ((table[g] - off.get(g, 0)) / total, sum(off.values()) / total) if total else (0.0, 1.0)
+
+    def shared(g):
+        if len(g) == 1:
+            return (pooled[1][g] + 0.5) / (sum(pooled[1].values()) + 0.5 * (len(pooled[1]) + 1))
+        kept, left = share(pooled[len(g)], g)
+        return kept + left * shared(g[1:])
+
+    def ratio(w):
+        s, out = f" {w} ", 0.0
+        for i in range(1, len(s)):
+            g = s[max(0, i - k + 1) : i + 1]
+            kept, left = zip(*(share(grams[c][len(g)], g) for c in (0, 1)))
+            seen = any(grams[c][len(g)][g] for c in (0, 1))
+            low = shared(g) if seen else 1.0
+            out += math.log(kept[1] + left[1] * low) - math.log(kept[0] + left[0] * low)
+        return out
+
+    return ratio, lambda w: math.log(1 - toxicity.TOXIC_SHARE + toxicity.TOXIC_SHARE * math.exp(ratio(w)))
+
+
+def test_toxicity_equals_the_recursion_written_out():
+    words = ["abab", "abba", "baab", "cab", "bac", "aaaa", "abcabcabc", "b", "abcabd"]
+    counts = np.array([[9, 2, 7, 1, 0, 5, 3, 1, 0], [1, 8, 0, 6, 9, 5, 0, 0, 2]], float)
+    model = toxicity.train(words, counts)
+    _, want = written_out(words, counts)
+    asked = [*words, "abx", "zz", "abcabcd", "c", "bacab"]
+    assert np.allclose(model.word_scores(asked), [want(w) for w in asked], atol=1e-4)
+    model.curve = (-1.0, 2.0)
+    texts = ["Abab, cab; cab!", "", "zz " * 50 + "bac_b", " ,.;"]
+    for text, got in zip(texts, model.score(texts)):
+        own = "".join(c if c.isalnum() else " " for c in text.lower()).split()
+        mean = sum(map(want, own)) / len(own) if own else 0.0
+        assert abs(got - 1 / (1 + math.exp(1 - 2 * math.asinh(mean / toxicity.BEND)))) < 1e-4
+
+
+def test_few_toxic_words_among_much_noise(spark):
+    """An eighth of the documents is toxic, by one word in forty; all words are made of random syllables, so most are rare."""
+    rng = random.Random(17)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+
+    def noise():
+        return "".join(rng.choice(syllables) for _ in range(rng.choice([1, 1, 2, 2, 3, 4])))
+
+    marks = ["vermin", "dullard", "wretch", "oafish", "zorg"]
+    texts, toxic = [], []
+    for i in range(1600):
+        words = [noise() for _ in range(rng.randint(40, 400))]
+        toxic.append(int(i % 8 == 0))
+        for _ in range(max(2, len(words) // 40) if toxic[-1] else 0):
+            words[rng.randrange(len(words))] = (lambda m: m if m != "zorg" else m + noise())(rng.choice(marks))
+        texts.append(" ".join(words))
+    table = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(docs_of(spark, texts), table).collect()}
+    held = [i for i in rows if rows[i]["held_out"]]
+    good, bad = [rows[i]["score"] for i in held if toxic[i]], [rows[i]["score"] for i in held if not toxic[i]]
+    assert sum(a > b for a in good for b in bad) >= 0.97 * len(good) * len(bad)
+    assert sum(s >= 0.5 for s in good) >= 0.9 * len(good) and sum(s >= 0.5 for s in bad) <= 0.02 * len(bad)
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_toxicity_on_the_supplied_labels(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no supplied tables")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score_documents(spark.read.parquet(f"{folder}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    good, bad = [r["score"] for r in rows if r["toxic"]], [r["score"] for r in rows if not r["toxic"]]
+    assert sum(a > b for a in good for b in bad) >= 0.9 * len(good) * len(bad)
+    assert 2 * sum(s >= 0.5 for s in good) > len(good) and sum(s >= 0.5 for s in bad) <= 0.03 * len(bad)
 
 
 # -- HTML ------------------------------------------------------------------------------------------------------------------
