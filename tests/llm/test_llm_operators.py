@@ -581,42 +581,108 @@ def test_scores_equal_one_position_at_a_time():
     assert np.allclose(got, want, atol=1e-4) and np.allclose(initial, want_initial, atol=1e-4)
 
 
-def test_lm_counts_and_base(spark, monkeypatch):
+def naive_lm(texts, held, n_blocks, ranks):
+    """n_known, base and score of each text: one word at a time, from parameters trained block by block in plain loops."""
+    split = [(t or "").encode().lower().split() for t in texts]
+    counts = Counter(w for i, words in enumerate(split) if not held[i] for w in [*words, None])
+    n, v = sum(counts.values()), len(counts)
+    params, rounds = lm.fresh(), {}
+    for i, t in enumerate(texts):
+        block = signed_xxhash64_of_id_and_text(i, t or "") % n_blocks
+        rounds.setdefault(-1 if block == 0 else (block - 1) % lm.ROUNDS, {}).setdefault(block, []).append(i)
+    for r in sorted(rounds):
+        copies = []
+        for block, members in sorted(rounds[r].items()):
+            adam, rng, weight = lm.Adam(params), np.random.default_rng(3), 0
+            own = [(texts[i] or "").encode() for i in sorted(members) if not held[i]]
+            for rate, batch in zip(lm.RATES, (16, lm.TRAIN_BATCH)) if r < 0 else [(lm.RATES[-1], lm.TRAIN_BATCH)]:
+                if own:
+                    inputs, targets = lm.training_windows(own, ranks)
+                    order = rng.permutation(len(inputs))
+                    for at in np.split(order, range(batch, len(order), batch)):
+                        adam.step(inputs[at], targets[at], rate)
+                    weight += (targets >= 0).sum()
+            if weight:
+                copies.append((weight, adam.p))
+        if copies:
+            params = {k: sum(w * p[k].astype(np.float64) for w, p in copies) / sum(w for w, _ in copies) for k in params}
+            params = {k: x.astype(np.float32) for k, x in params.items()}
+    out = []
+    for words in split:
+        ids, n_ids, sizes = lm.sequences([words], ranks)
+        spelled = lm.word_logs(*lm.score_ids(params, ids, n_ids, lm.layout(ranks).groups), sizes, np.array([len(sizes)]))
+        base = [math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in [*words, None]]
+        score = 0.0
+        for w, b, log in zip([*words, None], base, spelled.tolist()):
+            score += math.log10(lm.BASE_SHARE * 10**b + (1 - lm.BASE_SHARE) * math.exp(log) if n else math.exp(log))
+        out.append((sum(counts[w] > 0 for w in [*words, None]), n, sum(base), score))
+    return out
+
+
+def signed_xxhash64_of_id_and_text(doc_id, text):
+    first = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little"), 42)
+    value = xxhash.xxh64_intdigest(text.encode(), first)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def test_lm_scores_equal_plain_loops_however_the_input_is_partitioned(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(lm, "BUCKET_BYTES", 4000)
     rng = random.Random(6)
-    texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "  \n", "Unseenword " * 3]
-    docs = docs_of(spark, texts, extra=["score", "words"])
-    rows = {r["doc_id"]: r for r in lm.score_documents(docs, VOCABULARY).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))}
-    split = [(t or "").encode().lower().split() + [None] for t in texts]
-    counts = Counter(w for i, words in enumerate(split) if not held[i] for w in words)
-    n, v = sum(counts.values()), len(counts)
-    for i, words in enumerate(split):
-        base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(words), sum(counts[w] > 0 for w in words), n)
-        assert abs(r["base_score"] - base) < 1e-6 and math.isfinite(r["score"]) and r["score"] >= base + len(words) * math.log10(lm.FREQUENCY_SHARE) - 1e-6
+    texts = [prose(rng, rng.randint(0, 60)) for _ in range(80)] + [None, "", "  \n", "Unseenword " * 3, prose(rng, 3000)]
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    with open(VOCABULARY, "rb") as f:
+        ranks = bpe.Ranks.cached(f.read(), lm.BEGIN)
+    n_blocks = sum(len((t or "").encode()) for t in texts) // 3000 + 1
+    assert n_blocks > lm.ROUNDS + 1
+    want = naive_lm(texts, held, n_blocks, ranks)
+    docs = docs_of(spark, texts, extra=["score", "words", "block"])
+    found = [{r["doc_id"]: r for r in lm.score_documents(d, VOCABULARY).collect()} for d in (docs, docs.repartition(5, "n_chars"))]
+    for i, words in enumerate(((t or "").split() for t in texts)):
+        r = found[0][i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(words) + 1, want[i][0], want[i][1])
+        assert abs(r["base_score"] - want[i][2]) < 1e-6 and abs(r["score"] - want[i][3]) < 1e-4 * abs(want[i][3])
+        assert found[1][i] == r
+
+
+def test_lm_cases(spark):
+    docs = docs_of(spark, ["a b", None])
     assert lm.score_documents(docs.limit(0), VOCABULARY).count() == 0
+    rows = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "one"), (None, None)], "doc_id long, text string")
+    got = lm.score_documents(rows, VOCABULARY).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and all(math.isfinite(r["score"]) for r in got)
+    only_held = spark.createDataFrame([(i, "one two") for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1], "doc_id long, text string")
+    assert {(r["n_known"], r["train_tokens"]) for r in lm.score_documents(only_held, VOCABULARY).collect()} == {(0, 0)}
+
+
+def test_mixture_sums_to_one_over_its_events():
+    """The known words, and one event for all others, of which the attention model spells two."""
+    spelled, counts = np.array([0.4, 0.3, 0.2, 0.1]), np.array([5, 3, 0, 0])
+    base = (counts + 0.5) / (counts.sum() + 0.5 * 3)
+    known = np.exp(lm.word_probabilities(np.log(base), np.log(spelled), True))[:2].sum()
+    other = lm.BASE_SHARE * base[2] + (1 - lm.BASE_SHARE) * spelled[2:].sum()
+    assert abs(known + other - 1) < 1e-9
+    assert (np.exp(lm.word_probabilities(np.log(base), np.log(spelled), True))[2:] <= other).all()
+    assert (lm.word_probabilities(np.log(base), np.log(spelled), False) == np.log(spelled)).all()
 
 
 def test_training_lowers_the_loss():
     with open(VOCABULARY, "rb") as f:
         ranks = bpe.Ranks.cached(f.read(), lm.BEGIN)
     rng = random.Random(7)
-    inputs, targets = lm.training_windows([prose(rng, 200).encode() for _ in range(60)], ranks)
-    before = lm.gradients(lm.fresh(), inputs, targets)[0]
-    after = lm.gradients(lm.train(lm.fresh(), inputs, targets, 5e-3), inputs, targets)[0]
-    assert after < 0.7 * before
+    texts = [prose(rng, 200).encode() for _ in range(60)]
+    inputs, targets = lm.training_windows(texts, ranks)
+    before, adam = lm.gradients(lm.fresh(), inputs, targets)[0], lm.Adam(lm.fresh())
+    lm.train(adam, texts, ranks, 5e-3, 32, np.random.default_rng(3))
+    assert lm.gradients(adam.p, inputs, targets)[0] < 0.7 * before
 
 
-def test_every_training_document_is_learned_from(spark):
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks_file = f.read()
-    rng = random.Random(6)
-    for i in range(4):
-        text = prose(rng, 6000).encode()
-        assert len(text) > lm.SAMPLE_BYTES  # the driver's sample has none of it
-        docs = spark.createDataFrame([(i, text, False), (100 + i, text, True)], "doc_id long, text binary, held_out boolean")
-        learned, inputs = lm.learn(docs, ranks_file), lm.training_windows([text], bpe.Ranks.cached(ranks_file, lm.BEGIN))
-        assert lm.gradients(learned, *inputs)[0] < lm.gradients(lm.fresh(), *inputs)[0]
+def test_held_out_scores_beat_the_base_on_known_words(spark):
+    """Texts in two invented languages: a word's base probability knows nothing of its neighbours, the attention model does."""
+    rng = random.Random(3)
+    kinds = [[f"{a}{b}" for a in first for b in ("an", "el", "or", "ist", "um")] for first in ("bdgkl", "mnprt")]
+    texts = [prose(rng, 120, kinds[i % 2]) for i in range(500)]
+    rows = [r for r in lm.score_documents(docs_of(spark, texts), VOCABULARY).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in rows)
+    assert all(r["n_known"] == r["n_tokens"] for r in rows)
+    assert sum(r["score"] - r["base_score"] for r in rows) / tokens > 0.1
