@@ -3,7 +3,10 @@
 Every element of the document tree has a text density: its characters per tag, adjusted by the share of them
 that links hold, in relation to the whole body. The sum of the densities of an element's children is highest for the element that
 holds the main text directly. The threshold is the least density on the path from the body to the element of
-greatest density sum. From the body down, each element that reaches it gives its subtree of greatest density sum; link-only blocks below it are left out.
+greatest density sum. Where the main text lies is for the densities to say: around that element, the region grows to take in others of a like sum, and
+the headline before it. From the region down, each element that reaches the threshold gives its subtree of greatest density sum.
+What by its tag is no part of an article (menus, forms, scripts and so on) isn't measured at all; nor is what its class says stands aside,
+unless it holds most of the text.
 """
 
 from __future__ import annotations
@@ -38,11 +41,14 @@ ASIDE = re.compile(
     r"|comments?|disqus|replies|footer|masthead|site-header|page-header|share\w*|social|related|recommend\w*|newsletter|subscri\w*|pagination|pager|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-TOKEN = re.compile(
-    r"<!--(?:.*?--!?>|.*\Z)|<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<end>/?>)|<[!?/][^>]*>?", re.DOTALL
-)
-ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: A tag's attributes. A quoted value follows "=" alone; possessive, so that no text is read twice.
+ATTRIBUTES = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+)?+)*+")
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+COMMENT_END = re.compile(r"--!?>")
 SPACE = re.compile(r"\s+")
+#: Share of the greatest density sum at which an element beside the densest one belongs to the main text too.
+PEAK = 0.4
 
 
 class Element:
@@ -62,7 +68,7 @@ def _aside(name: str, attrs: str) -> tuple[bool, bool]:
     if not attrs or attrs.isspace():
         return False, False
     doubted = False
-    for m in ATTR.finditer(attrs):
+    for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), (m[2] or "").strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True, False
@@ -85,71 +91,91 @@ def _settle(root: Element) -> None:
             x.pruned = True
 
 
+class Open:
+    """The elements that are open, with the depths of each name, so that no tag walks up the tree."""
+
+    def __init__(self, root: Element) -> None:
+        self.stack, self.depths = [root], {}
+
+    def deepest(self, names) -> int:
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=0)
+
+    def push(self, x: Element) -> None:
+        self.depths.setdefault(x.name, []).append(len(self.stack))
+        self.stack.append(x)
+
+    def close(self, depth: int) -> None:
+        while depth and len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
+
+    def close_within(self, names, scope) -> None:
+        """Close the deepest of ``names`` unless one of ``scope`` was opened in it."""
+        depth = self.deepest(names)
+        if depth > self.deepest(scope):
+            self.close(depth)
+
+
 def parse(source: str) -> Element:
-    """The document tree below a body. Broken markup is read leniently: what is unclosed ends with its parent."""
+    """The document tree below a body. Broken markup is read leniently: what is unclosed ends with its parent, a tag cut off by the end is dropped."""
     root = Element("body", None)
-    at, pos, end = root, 0, len(source)
+    opened, pos, end = Open(root), 0, len(source)
     while pos < end:
-        m = TOKEN.search(source, pos)
-        if m is None:
-            at.nodes.append(source[pos:])
+        at = source.find("<", pos)
+        if at < 0 or at + 1 >= end:
+            opened.stack[-1].nodes.append(source[pos:])
             break
-        if m.start() > pos:
-            at.nodes.append(source[pos : m.start()])
-        pos = m.end()
-        name = m["name"]
-        if name is None:
+        closes = source[at + 1] == "/"
+        named = NAME.match(source, at + 1 + closes)
+        if named is None and source[at + 1] not in "!?/":  # no markup
+            opened.stack[-1].nodes.append(source[pos : at + 1])
+            pos = at + 1
+            continue
+        if at > pos:
+            opened.stack[-1].nodes.append(source[pos:at])
+        if source.startswith("<!--", at):
+            done = COMMENT_END.search(source, at + 2 if source.startswith(("<!-->", "<!--->"), at) else at + 4)
+            pos = done.end() if done else end
             continue
-        name = name.lower()
-        if m["close"]:
-            x: Element | None = at
-            while x is not None and x.name != name:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                at = x.parent
+        if named is None:
+            pos = source.find(">", at) + 1 or end
+            continue
+        attrs = ATTRIBUTES.match(source, named.end())
+        pos = attrs.end() + 1
+        if pos > end:  # the tag isn't closed
+            break
+        name = named[0].lower()
+        if closes:
+            opened.close(opened.deepest((name,)))
             continue
         if name in ("html", "body"):
             continue
         if name in CLOSES_P:
-            x = at
-            while x is not None and x.name not in ("p", "button", "td", "th", "table"):
-                x = x.parent
-            if x is not None and x.name == "p" and x.parent is not None:
-                at = x.parent
+            opened.close_within(("p",), ("button", "td", "th", "table"))
         if name in CLOSED_BY_SAME:
-            x = at
-            while x is not None and x.name not in CLOSED_BY_SAME[name] and x.name not in ("ul", "ol", "dl", "table", "select"):
-                x = x.parent
-            if x is not None and x.name in CLOSED_BY_SAME[name] and x.parent is not None:
-                at = x.parent
-        new = Element(name, at, *_aside(name, m["attrs"]))
-        if name == "header" and _within(at) is None:
+            opened.close_within(CLOSED_BY_SAME[name], ("ul", "ol", "dl", "table", "select"))
+        parent = opened.stack[-1]
+        new = Element(name, parent, *_aside(name, attrs[0]))
+        if name == "header" and not opened.deepest(("article", "main")):
             new.pruned = True
-        at.nodes.append(new)
-        if name in VOID or m["end"] == "/>":
+        parent.nodes.append(new)
+        if name in VOID or attrs[0].endswith("/"):
             continue
         if name in RAW_TEXT:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(source, pos)
-            pos = close.end() if close else end
+            close = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(source, pos)
+            pos = source.find(">", close.end()) + 1 or end if close else end
             continue
-        at = new
+        opened.push(new)
     _settle(root)
     return root
 
 
-def _within(x: Element | None) -> Element | None:
-    while x is not None and x.name not in ("article", "main"):
-        x = x.parent
-    return x
-
-
 def _ordered(root: Element) -> list[Element]:
-    """Parents before children, pruned subtrees left out."""
+    """In page order, so parents before children; pruned subtrees left out."""
     out, stack = [], [root]
     while stack:
         x = stack.pop()
         out.append(x)
-        stack.extend(n for n in x.nodes if isinstance(n, Element) and not n.pruned)
+        stack.extend(n for n in reversed(x.nodes) if isinstance(n, Element) and not n.pruned)
     return out
 
 
@@ -178,59 +204,112 @@ def measure(root: Element) -> list[Element]:
     return order
 
 
-def choose(root: Element) -> tuple[list[Element], float]:
-    """The subtrees of the main text, in page order, and the density threshold.
+def _inner(x: Element) -> list[Element]:
+    return [n for n in x.nodes if isinstance(n, Element) and not n.pruned]
 
-    From the body down, each element no less dense than the threshold is followed, and the subtree of greatest density sum
-    in it is taken. On a page whose best subtree is in an article or main, all articles and mains that are dense enough are taken whole.
-    """
-    order = measure(root)
 
-    def inner(x: Element) -> list[Element]:
-        return [n for n in x.nodes if isinstance(n, Element) and not n.pruned]
+def _path(x: Element | None) -> list[Element]:
+    out = []
+    while x is not None:
+        out.append(x)
+        x = x.parent
+    return out
 
-    # text that stands in no child element counts as a child of its own
-    sums = {id(x): x.total + (x.chars - sum(n.chars for n in inner(x))) for x in order}
+
+def _joined(x: Element, y: Element) -> Element:
+    """The least element that holds both."""
+    above = {id(z) for z in _path(x)}
+    return next(z for z in _path(y) if id(z) in above)
+
+
+def densest(order: list[Element]) -> tuple[Element, dict[int, float], dict[int, Element]]:
+    """The element of greatest density sum, the sums, and of each element the one of greatest sum in its subtree. Text that stands in no child counts as a child."""
+    sums = {id(x): x.total + (x.chars - sum(n.chars for n in _inner(x))) for x in order}
     best_of: dict[int, Element] = {}
     for x in reversed(order):
         best = x
-        for n in inner(x):
+        for n in _inner(x):
             if sums[id(best_of[id(n)])] > sums[id(best)]:
                 best = best_of[id(n)]
         best_of[id(x)] = best
-    best = best_of[id(root)]
+    best = best_of[id(order[0])]
+    while best.name not in BLOCK and best.parent is not None:
+        best = best.parent
+    return best, sums, best_of
+
+
+def choose(root: Element) -> tuple[list[Element], float]:
+    """The subtrees of the main text, in page order, and the density threshold.
+
+    The region is the least element that holds the one of greatest density sum, all those beside it of at least ``PEAK`` of that sum, and
+    the last h1 before it; an article around the region that is dense enough takes its place. A region that is the
+    densest element itself is taken whole. In a larger one, each element no less dense than the threshold is followed, and its
+    subtree of greatest density sum is taken.
+    """
+    order = measure(root)
+    best, sums, best_of = densest(order)
+    path = _path(best)
+
     def plain(x: Element) -> float:
         return x.chars / max(1, x.tags)
 
-    threshold, plain_threshold, at = best.density, plain(best), best
-    while at is not None:
-        threshold, plain_threshold, at = min(threshold, at.density), min(plain_threshold, plain(at)), at.parent
+    threshold, plain_threshold = min(x.density for x in path), min(map(plain, path))
 
     def dense(x: Element) -> bool:
         # composite density grows with an element's size: a short lead reaches the path's characters per tag alone
         return x.density >= threshold or plain(x) >= plain_threshold and x.chars >= 2 * x.link_chars
 
-    if _within(best) is not None:
-        return [x for x in order if x.name in ("article", "main") and _within(x.parent) is None and dense(x)], threshold
-    taken: set[int] = set()
-    followed: set[int] = set()
+    above, before = {id(x) for x in path}, None
+    place = {id(x): i for i, x in enumerate(order)}
+    peaks = [best]
     for x in order:
-        if x.name in HEADINGS and x.parent is not None and id(x.parent) in followed and x.chars > 2 * x.link_chars:
-            taken.add(id(x))  # a headline is short, so never dense
-        elif x.chars and dense(x) and (x is root or x.parent is not None and id(x.parent) in followed):
-            followed.add(id(x))
-            chosen = best_of[id(x)]
-            while chosen.name not in BLOCK and chosen.parent is not None:
-                chosen = chosen.parent
-            taken.add(id(chosen))
-    # an element within a taken one goes with it
-    out, stack = [], [root]
+        if id(x) in above or not x.chars:
+            continue
+        if x.name == "h1" and x.chars > 2 * x.link_chars and place[id(x)] < place[id(best)]:
+            before = x
+        elif x.name in BLOCK and sums[id(x)] >= PEAK * sums[id(best)] and dense(x):
+            peaks.append(x)
+    if before is not None:
+        peaks.append(before)
+    peaks.sort(key=lambda x: place[id(x)])
+    region = _joined(peaks[0], peaks[-1])  # in page order, what holds the first and the last holds all
+    article = next((x for x in _path(region) if x.name == "article"), None)
+    if article is not None and dense(article):
+        return [article], threshold
+    if region is best:
+        return [best], threshold
+    taken: set[int] = set()
+    followed: set[int] = {id(region)}
+    stack = [region]
     while stack:
         x = stack.pop()
-        if id(x) in taken:
+        chosen = best_of[id(x)]
+        while chosen.name not in BLOCK and chosen.parent is not None:
+            chosen = chosen.parent
+        if x is not region or chosen is not region:
+            taken.add(id(chosen))
+        for n in _inner(x):
+            if n.name in HEADINGS and n.chars > 2 * n.link_chars:
+                taken.add(id(n))  # a headline is short, so never dense
+            elif n.chars and (id(n) in above or dense(n)):
+                followed.add(id(n))
+                stack.append(n)
+    # an element within a taken one goes with it; text that stands loose among followed ones is a block of its own
+    out: list[Element] = []
+    walk: list[Element] = [region]
+    while walk:
+        x = walk.pop()
+        if id(x) in taken or not x.tags and x.name == "#text":
             out.append(x)
-        else:
-            stack.extend(reversed(inner(x)))
+            continue
+        for n in reversed(x.nodes):
+            if isinstance(n, str):
+                if id(x) in followed and len(n) - n.count(" ") >= plain_threshold:
+                    loose = Element("#text", x)
+                    loose.nodes.append(n)
+                    walk.append(loose)
+            elif not n.pruned:
+                walk.append(n)
     return out, threshold
 
 

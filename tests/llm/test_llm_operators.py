@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -468,6 +469,93 @@ def test_layout_wrappers_are_no_asides():
     assert htmltext.main_text(page.replace("casino-ads", "casino-ads no-x")) == htmltext.main_text(page) == " ".join((LONG * 2).split())
 
 
+def test_density_alone_decides():
+    """No article, classes that mislead, notices and teasers in ordinary elements; tags and classes say nothing or the wrong thing."""
+    body = " ".join(LONG.split())
+    p, teaser = f"<p>{LONG}</p>", "<article><p><a href=1>A teaser</a> of a few words</p></article>"
+    notice = "<div><p>We keep a few small files on your device.</p><p><a href=x>Fine</a></p></div>"
+    links = "<div>" + "<p><a href=1>Another page of this site, with quite a long headline</a></p>" * 12 + "</div>"
+    for kind in ("class=sidebar", "class='widget ad'", "", "id=footer"):
+        page = f"<body>{notice}{links}<div {kind}>{p * 6}</div><div class='article main content'>{teaser * 5}</div>{notice}</body>"
+        assert htmltext.main_text(page) == "\n\n".join([body] * 6)
+        assert htmltext.main_text(f"<body><main>{teaser * 4}</main><div {kind}>{p * 6}</div></body>") == "\n\n".join([body] * 6)
+
+
+def test_densities_equal_the_formula_written_out():
+    rng = random.Random(2)
+
+    def element(depth):
+        if not depth or rng.random() < 0.2:
+            return ["x" * rng.randint(0, 40)]
+        return [(rng.choice(["div", "p1", "a", "span"]), element(depth - 1)) for _ in range(rng.randint(1, 4))] + ["y" * rng.randint(0, 30)]
+
+    def source(nodes):
+        return "".join(n if isinstance(n, str) else f"<{n[0]}>{source(n[1])}</{n[0]}>" for n in nodes)
+
+    def counted(name, nodes):
+        """chars, tags, characters and tags of links, children."""
+        inner = [counted(*n) for n in nodes if not isinstance(n, str)]
+        chars = sum(len(n) for n in nodes if isinstance(n, str)) + sum(c[0] for c in inner)
+        tags = sum(c[1] + 1 for c in inner)
+        linked = (chars, tags + 1) if name == "a" else (sum(c[2] for c in inner), sum(c[3] for c in inner))
+        return chars, tags, *linked, inner
+
+    def density(c, body):
+        if not c[0]:
+            return 0.0
+        base = math.e + c[0] / max(1, c[0] - c[2]) * c[2] + body * c[0]
+        return c[0] / max(1, c[1]) * math.log(1 + c[0] / max(1, c[2]) * max(1, c[1]) / max(1, c[3])) / math.log(1 + math.log(base))
+
+    def walked(c):
+        yield c
+        for x in c[4]:
+            yield from walked(x)
+
+    for _ in range(200):
+        nodes = element(4)
+        root = htmltext.parse(source(nodes))
+        order, top = htmltext.measure(root), counted("body", nodes)
+        body = top[2] / max(1, top[0])
+        want = [(density(c, body), sum(density(x, body) for x in c[4])) for c in walked(top)]
+        assert np.allclose([(x.density, x.total) for x in order], want)
+        sums = [w[1] + c[0] - sum(x[0] for x in c[4]) for w, c in zip(want, walked(top))]
+        best, found, _ = htmltext.densest(order)
+        assert np.allclose([found[id(x)] for x in order], sums)
+        if best.parent is None or best is order[int(np.argmax(sums))]:
+            continue
+        assert order[int(np.argmax(sums))].name not in htmltext.BLOCK  # it climbs out of inline elements alone
+
+
+def test_the_threshold_and_the_sum_change_what_is_taken(monkeypatch):
+    links = "".join(f"<p><a href={i}>one</a></p>" for i in range(400))
+    page = f"<body><div>{links}</div><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div><p>{LONG[:60]}</p><p>y</p></div></body>"
+    whole = htmltext.main_text(page)
+    assert whole == "\n\n".join(["Head", *[" ".join(LONG.split())] * 2])
+    measured = htmltext.measure
+
+    def flat(root):
+        order = measured(root)
+        for x in order:
+            x.total = float(sum(isinstance(n, htmltext.Element) for n in x.nodes))
+        return order
+
+    monkeypatch.setattr(htmltext, "measure", flat)  # children counted, not their densities
+    assert htmltext.main_text(page) != whole
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a ="', "<div>", "<p>x", "<li>x<ul>", "<b>", "</div>", "<!--", "<script ", "<", "&", "<td>", "<a href='"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    began = time.perf_counter()
+    htmltext.main_text(piece * (300_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+def test_broken_tags_leave_no_markup():
+    assert htmltext.main_text('<a "' * 3000) == htmltext.main_text("<a " * 5000) == htmltext.main_text("<p>x</p>" + "<a b='c") .replace("x", "") == ""
+    assert htmltext.main_text('<p title="a > b" x=">">in</p><p data-id="sidebar" y>2 < 3</p><p/>') == "in\n\n2 < 3"
+    assert htmltext.main_text("<!-->a<!--->b<!-- c --!>d</ e>f<?g>h<!doctype i>j") == "abdfhj"
+
+
 def test_html_cases(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "plain text"), (4, "u", "<p>a<p>b</p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<script>only"), (6, "u", "<p>&lt;x&gt; &bogus; 😀</p>")]
     rows = htmltext.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
