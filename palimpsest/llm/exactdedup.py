@@ -4,14 +4,16 @@ Texts are cut into blocks of a fixed number of bytes. Sorting all blocks gives e
 adjacent pairs of names are sorted and named in turn, until each document is down to one name. Documents of equal
 numbers of blocks are equal if and only if their last names are equal: names stand for contents, not for hashes.
 
-The sort is a range partitioning on (block, document), so that a block which a third of all rows share is dealt over
-many tasks. Each task numbers the distinct keys of its own range; the ranges are then put together by one row per task.
+The sort is a range partitioning on (hash of the block, document), so that a block which a third of all rows share is dealt over
+many tasks, and the sample that bounds the ranges holds numbers alone. Each task numbers the distinct keys of its own range: equal hashes are sorted by
+the keys themselves, so different blocks never share a name. A key that several ranges hold has its name from the first of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -26,64 +28,87 @@ BLOCKS_PER_RANGE = 12_000
 PAIRS_PER_RANGE = 500_000
 
 
+#: Kinds of rows that :func:`_ordinals` makes.
+ROW, COUNT, EDGE = 0, 1, 2
+
+
 def _ordinals(width: int, payload: list[str], schema: pa.Schema):
-    """For ``mapInArrow`` over sorted ranges: the ordinal of each row's key among the keys of the range.
+    """For ``mapInArrow`` over ranges sorted by hash and key: the ordinal of each row's key among the keys of the range.
 
-    The first ``width`` columns are the key. A last row for each range holds its first and last key and their number.
+    The first column is the hash, the next ``width`` the key. Further rows hold the number of keys, and the keys of the first and the last hash: these
+    may be in other ranges too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count, first, last = TaskContext.get().partitionId(), 0, None, None
+        task, count, last, first_hash, last_hash = TaskContext.get().partitionId(), 0, None, None, None
+        first_keys, last_keys = [], []
+
+        def made(kind: int, local: pa.Array, payloads: list, keys: list) -> pa.RecordBatch:
+            n = len(local)
+            columns = [pa.array([kind] * n, pa.int32()), pa.array([task] * n, pa.int32()), local, *payloads]
+            columns += keys or [pa.nulls(n, f.type) for f in list(schema)[len(columns):]]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            keys = [batch.column(i) for i in range(width)]
-            head = tuple(k[0].as_py() for k in keys)
-            fresh = pa.array([last is None or head != last])
+            hashes, keys = batch.column(0).to_numpy(), [batch.column(i) for i in range(1, width + 1)]
+            fresh = pa.array([last is None or tuple(k[0].as_py() for k in keys) != last])
             if n > 1:
                 differs = pc.not_equal(keys[0].slice(1), keys[0].slice(0, n - 1))
                 for k in keys[1:]:
                     differs = pc.or_(differs, pc.not_equal(k.slice(1), k.slice(0, n - 1)))
                 fresh = pa.concat_arrays([fresh, differs])
             local = pc.add(pc.cumulative_sum(fresh.cast(pa.int64())), count)
-            first, last, count = first or head, tuple(k[n - 1].as_py() for k in keys), local[n - 1].as_py()
-            none = pa.nulls(n)
-            columns = [pa.array([task] * n, pa.int32()), local, *(batch.column(c) for c in payload)]
-            columns += [none.cast(schema.field(i).type) for i in range(len(columns), len(schema))]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            begins = np.flatnonzero(fresh.to_numpy(zero_copy_only=False))
+
+            def of(value: int) -> list[tuple]:
+                return [(local[i].as_py(), *(k[i].as_py() for k in keys)) for i in begins[hashes[begins] == value].tolist()]
+
+            first_hash = hashes[0] if first_hash is None else first_hash
+            if hashes[0] == first_hash:
+                first_keys += of(first_hash)
+            last_keys = (last_keys if hashes[-1] == last_hash else []) + of(hashes[-1])
+            last, last_hash, count = tuple(k[n - 1].as_py() for k in keys), hashes[-1], local[n - 1].as_py()
+            yield made(ROW, local, [batch.column(c) for c in payload], [])
         if count:
-            columns = [pa.array([task], pa.int32()), pa.array([count], pa.int64())]
-            columns += [pa.nulls(1, schema.field(i).type) for i in range(2, 2 + len(payload))]
-            ends = [*first, *last]
-            columns += [pa.array([x], schema.field(2 + len(payload) + i).type) for i, x in enumerate(ends)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            nothing = [pa.nulls(1, schema.field(c).type) for c in payload]
+            yield made(COUNT, pa.array([count], pa.int64()), nothing, [])
+            for edge in sorted({*first_keys, *last_keys}):
+                yield made(EDGE, pa.array([edge[0]], pa.int64()), nothing, [pa.array([x], f.type) for x, f in zip(edge[1:], list(schema)[-width:])])
 
     return run
 
 
+def hash_of(key: list[str]) -> Column:
+    return F.xxhash64(*key)
+
+
 def name_rows(df: DataFrame, key: list[str], tie: list[str], ranges: int, label: str) -> DataFrame:
-    """The columns of ``df`` but for ``key``, and ``name``: the rank of the row's key among all distinct keys, from 1.
+    """The columns of ``df`` but for ``key``, and ``name``: a number that rows of the same key alone share.
 
-    Key columns hold no nulls. What is broadcast is one number per range.
+    Key columns hold no nulls. What is broadcast is a number or two per range.
     """
     payload = [c for c in df.columns if c not in key]
-    ordered = df.select(*key, *payload).repartitionByRange(max(1, ranges), *key, *tie).sortWithinPartitions(*key, *tie)
+    hashed = df.select(hash_of(key).alias("__hash"), *key, *payload)
+    ordered = hashed.repartitionByRange(max(1, ranges), "__hash", *tie).sortWithinPartitions("__hash", *key)
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
-    ends = [(f"__{side}{i}", fields[k]) for side in ("first", "last") for i, k in enumerate(key)]
-    layout = [("__task", "int"), ("__local", "bigint"), *((c, fields[c]) for c in payload), *ends]
+    layout = [("__kind", "int"), ("__task", "int"), ("__local", "bigint"), *((c, fields[c]) for c in payload), *((f"__key{i}", fields[k]) for i, k in enumerate(key))]
     arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(c, arrow[t]) for c, t in layout])
     numbered = scratch.write(ordered.mapInArrow(_ordinals(len(key), payload, schema), ", ".join(f"`{c}` {t}" for c, t in layout)), label)
-    in_order = Window.orderBy("__task")
-    same = F.lit(True)
-    for i in range(len(key)):
-        same = same & F.coalesce(F.col(f"__first{i}") == F.lag(f"__last{i}").over(in_order), F.lit(False))
-    summary = numbered.where("__first0 is not null").select("__task", "__local", F.when(same, 1).otherwise(0).alias("__same"))
-    before = F.coalesce(F.sum(F.col("__local") - F.col("__same")).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = summary.select("__task", (before - F.col("__same")).alias("__base"))
-    rows = numbered.where("__first0 is null")
-    return rows.join(F.broadcast(base), "__task").select(*payload, (F.col("__base") + F.col("__local")).alias("name"))
+    before = F.sum("__local").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1))
+    base = numbered.where(F.col("__kind") == COUNT).select("__task", F.coalesce(before, F.lit(0)).alias("__base"))  # a row per range
+    edges = numbered.where(F.col("__kind") == EDGE)
+    place = F.struct("__task", "__local")
+    shared = edges.groupBy(*(f"__key{i}" for i in range(len(key)))).agg(F.collect_list(place).alias("__at"), F.min(place).alias("__first")).where(F.size("__at") > 1)
+    moved = shared.select(F.explode("__at").alias("__p"), "__first").where("__p <> __first")
+    moved = moved.join(F.broadcast(base.select(F.col("__task").alias("__t"), F.col("__base").alias("__b"))), F.col("__first.__task") == F.col("__t"))
+    moved = moved.select(F.col("__p.__task").alias("__mt"), F.col("__p.__local").alias("__ml"), (F.col("__b") + F.col("__first.__local")).alias("__name"))
+    rows = numbered.where(F.col("__kind") == ROW).join(F.broadcast(base), "__task")
+    rows = rows.join(F.broadcast(moved), (F.col("__task") == F.col("__mt")) & (F.col("__local") == F.col("__ml")), "left")
+    return rows.select(*payload, F.coalesce(F.col("__name"), F.col("__base") + F.col("__local")).alias("name"))
 
 
 def identities(docs: DataFrame, text: str = "text", id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:

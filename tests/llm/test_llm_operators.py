@@ -216,6 +216,18 @@ def test_exact_dedup_equals_grouping(spark, block_bytes, monkeypatch):
     assert exactdedup.keep_distinct(docs).count() == len(groups)
 
 
+def test_exact_dedup_keeps_different_texts_of_one_hash_apart(spark, monkeypatch):
+    """Two hashes for all blocks, so that equal and different ones of a hash lie in many ranges."""
+    monkeypatch.setattr(exactdedup, "hash_of", lambda key: F.pmod(F.xxhash64(*key), F.lit(2)))
+    monkeypatch.setattr(exactdedup, "BLOCKS_PER_RANGE", 30)
+    monkeypatch.setattr(exactdedup, "PAIRS_PER_RANGE", 20)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    got = {r["doc_id"]: r["keep_id"] for r in exactdedup.exact_dedup(docs_of(spark, texts), block_bytes=3).collect()}
+    last = {t: i for i, t in enumerate(texts)}
+    assert got == {i: last[t] for i, t in enumerate(texts)}
+
+
 @pytest.mark.parametrize("keep", [exactdedup.keep_distinct, simhash.keep_one])
 def test_stages_keep_one_of_repeated_rows_and_null_ids(spark, keep):
     rng = random.Random(12)
