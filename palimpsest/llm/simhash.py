@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import memory, scratch
 
 #: Fingerprints that the tree is planned on; more only balance the shards better.
 TREE_SAMPLE = 20_000
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), width, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        memory.give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -265,12 +266,12 @@ def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", widt
     docs = scratch.write(fingerprints(docs, text, id_col, width, seed), "fingerprints")
     distinct = scratch.write(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(linked_fingerprints(distinct.select("fp"), reach, shard_rows))
-    named = distinct.join(roots, F.col("fp") == F.col("node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = scratch.write(named.join(least, "root").select(F.col("fp").alias("__fp"), "component"), "components")
-    alone = distinct.select(F.col("fp").alias("__own"), "least")
-    linked = docs.join(named, F.col("fp") == F.col("__fp"), "left").join(alone, F.col("fp") == F.col("__own"), "left")
-    return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "least").alias("component_id"))
+    rooted = scratch.write(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.write(rooted.join(component, "root").select(F.col("fp").alias("__fp"), "component_id"), "components")
+    # one join on the fingerprint: a hot one is split, as nothing after it needs the rows of a key together
+    linked = docs.join(named, F.col("fp") == F.col("__fp"))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -363,11 +364,13 @@ def similar_sets(docs: DataFrame, text: str, id_col: str, width: int, reach: int
             found = [sketch(shingle_hashes(x.as_py(), width)) for x in batch.column(2)]
             columns = np.array(found, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in columns)], names=["__id", "__sha", "fp", "second", "node"])
+        memory.give_back()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([shingle_hashes(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), found, batch.column(2), batch.column(3)], names=["node", "hashes", "group", "cells"])
+        memory.give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         node, cell = table.column("node").to_numpy(), table.column("cell").to_numpy()
