@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import memory
+
 #: Code points that one pass over arrays takes, and that one replay covers: bounds on a task's memory.
-PASS_CHARS = 3_000_000
-REPLAY_CHARS = 24_000_000
+PASS_CHARS = 2_000_000
+REPLAY_CHARS = 12_000_000
 NEVER = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # The code points of the Unicode property White_Space, and the pattern's contractions.
@@ -338,6 +340,7 @@ def _mapped(docs: DataFrame, vocabulary: str, text: str, id_col: str, fields: st
             own = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in ids])
             ids[:] = [own.slice(len(counts))]
             yield make(ranks, own.slice(0, len(counts)), flat, counts)
+        memory.give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -47,16 +47,25 @@ def digest(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+#: Keys of repeated rows that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 100_000
+
+
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, text: str, id_col: str) -> DataFrame:
     """``docs`` without the rows of ``gone``, and with one row alone for each of ``repeated``; both hold id and :func:`digest` of text, as __id and __sha.
 
-    Of repeated rows it doesn't matter which one stays. Nothing but these keys is written or dealt out.
+    Of repeated rows it doesn't matter which one stays. The table is dealt out once, to be held against ``gone``; where there are
+    repeated rows at all, these are set apart first, and only they are dealt out for that.
     """
     named = docs.withColumn("__text_sha", digest(text))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
-    alone = named.join(gone.select("__id", "__sha").union(repeated.select("__id", "__sha")), same, "left_anti")
-    once = named.join(repeated.select("__id", "__sha"), same, "left_semi").dropDuplicates([id_col, "__text_sha"])
-    return alone.unionByName(once).drop("__text_sha")
+    out, once, gone, n = named, None, gone.select("__id", "__sha"), repeated.count()
+    if n:
+        keys = repeated.select("__id", "__sha")
+        keys = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
+        out, once = named.join(keys, same, "left_anti"), named.join(keys, same, "left_semi").dropDuplicates([id_col, "__text_sha"])
+    out = out.join(gone, same, "left_anti")
+    return (out.unionByName(once) if once is not None else out).drop("__text_sha")
 
 
 def bounded_sample(df: DataFrame, keys: list[str], most: int, seed: int, count: int | None = None) -> list[Row]:

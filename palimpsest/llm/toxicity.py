@@ -24,20 +24,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import memory, scratch
 
 ORDER = 6
 #: Share of a toxic text's words that the toxic class gives; the others are as in ordinary texts.
 TOXIC_SHARE = 0.01
 #: Labelled documents that are learned from at most, of each class.
 MAX_TOXIC_DOCS = 3_000
-MAX_ORDINARY_DOCS = 6_000
+MAX_ORDINARY_DOCS = 4_000
 #: Parts of the labelled documents: the curve is fitted on scores that models without a document's own part gave it.
 PARTS = 4
 #: Where the curve bends: differences under this count in proportion, larger ones by their logarithm.
 BEND = 0.01
 #: Characters of text that a task scores at a time, and rows that it adds to a group at once.
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 1_500_000
 SLICE_ROWS = 200
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: A word is a run of letters and digits.
@@ -160,16 +160,17 @@ def train(words: list[str], counts: np.ndarray) -> Model:
     pooled = counts.sum(0)
     tables: list[tuple[np.ndarray, ...]] = []
     for n in range(1, ORDER + 1):
-        at = np.flatnonzero(spelled.place >= max(1, n - 1)).astype(np.int64)
-        code = spelled.keys(n, at)
-        types, first, type_of = np.unique(code, return_index=True, return_inverse=True)
+        at = np.flatnonzero(spelled.place >= max(1, n - 1)).astype(np.int32)
+        types, first, type_of = np.unique(spelled.keys(n, at), return_index=True, return_inverse=True)
+        type_of = type_of.astype(np.int32)
         whole = spelled.place[at] == n - 1  # begins with the word: nothing stands to the left of it
         if n == ORDER:
             count = np.bincount(type_of, pooled[spelled.word[at]], len(types))
         else:
-            inner = np.flatnonzero(~whole)
-            _, one = np.unique(spelled.keys(n + 1, at[inner]), return_index=True)
+            inner = np.flatnonzero(~whole).astype(np.int32)
+            one = np.unique(spelled.keys(n + 1, at[inner]), return_index=True)[1]
             count = np.bincount(type_of[inner[one]], minlength=len(types)).astype(float)
+            del inner, one
             begins = np.bincount(type_of[whole], pooled[spelled.word[at[whole]]], len(types))
             count = np.where(begins > 0, begins, count)
         if n == 1:
@@ -226,6 +227,8 @@ def _train_group(table: pa.Table) -> pa.Table:
     summed = table.group_by("word").aggregate([("a", "sum"), ("b", "sum")])
     model = train(summed.column("word").to_pylist(), np.array([summed.column(c).to_numpy() for c in ("a_sum", "b_sum")], float))
     arrays = (model.grams, model.gram_values, model.contexts, model.context_values)
+    del summed
+    memory.give_back()
     return pa.table({"model": table.column("model").slice(0, 1), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in zip("ghij", arrays)}})
 
 
@@ -266,6 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str =
                 at = np.flatnonzero(part == p)
                 x[at] = shipped.value.get(p, Model()).means([texts[i] for i in at.tolist()])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x)], names=["y", "x"])
+        memory.give_back()
 
     rated = sample.mapInArrow(rate, "y int, x double").toArrow()
     shipped.unpersist()
@@ -306,6 +310,7 @@ def scored(docs: DataFrame, model: Model, text: str, out, schema: str) -> DataFr
                     chars = 0
         if held:
             yield from flush()
+        memory.give_back()
 
     return docs.mapInArrow(run, schema)
 
