@@ -17,7 +17,7 @@ from pyspark.sql import SparkSession
 
 from .config import ProgressEvent, RunOptions
 from .errors import PalimpsestError
-from .plans.report import ROLLED_BACK, RunReport
+from .plans.report import RunReport
 
 PRINTABLE = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[0-9A-HJKMNP-TV-Z]{26}", re.IGNORECASE)
 
@@ -45,11 +45,11 @@ def summary(report: RunReport) -> str:
         lines.append(f"{t.target}: {t.rows} rows in {t.expected_chunks} chunks of {t.chunk_size}; {what}: {counts}")
         if not t.fk_enforcement:
             lines.append("  its foreign keys are rewritten on both sides; check for orphans afterwards")
-        for c in t.chunks:
-            if c.status == ROLLED_BACK:
-                first, last = printable(c.first), printable(c.last)
-                keys = f" (keys {first} to {last})" if first and last else ""
-                lines.append(f"  chunk {c.chunk}{keys} was not written: {c.error}; {t.chunks_not_attempted} chunks not attempted")
+        if t.failed_chunk:
+            c = t.failed_chunk
+            first, last = printable(c.first), printable(c.last)
+            keys = f" (keys {first} to {last})" if first and last else ""
+            lines.append(f"  chunk {c.chunk}{keys} was not written: {c.error}; {t.chunks_not_attempted} chunks not attempted")
     lines += [f"{label}: not attempted" for label in report.not_attempted]
     lines.append("dry run: nothing was written" if report.dry_run else f"{report.rows_sanitized} rows sanitized")
     return "\n".join(lines)

@@ -29,13 +29,5 @@ class ConstraintViolation(PalimpsestError):
     """A new value doesn't fit its column."""
 
 
-class UniquenessExhausted(PalimpsestError):
-    """No further value is free for a unique column."""
-
-
 class InvalidReplacementValue(PalimpsestError):
     """A value has no canonical text, or a document can't be rewritten."""
-
-
-class UnsupportedCodec(PalimpsestError):
-    """A codec can't encode or decode a value."""

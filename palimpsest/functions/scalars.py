@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,3 +63,10 @@ def hmac_sha256(key: bytes, message: Column) -> Column:
 
     inner = F.unhex(F.sha2(F.concat(pad(0x36), message.cast("binary")), 256))
     return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+def attempted(c: Column) -> Column:
+    """A struct of the value, v; null where the evaluation fails. Of an expression with Python functions these alone aren't guarded."""
+    jvm = SparkSession.active()._jvm
+    util = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(util.column(jvm.org.apache.spark.sql.catalyst.expressions.TryEval(util.expression(F.struct(c.alias("v"))._jc))))

@@ -79,9 +79,3 @@ def unique_mapping(
     empty = inputs.select("canonical", F.lit(None).cast("string").alias("output")).limit(0)
     out = empty if holders is None else holders.select("canonical", "output")
     return out if lost is None else out.unionByName(lost.select("canonical", F.lit(None).cast("string").alias("output")))
-
-
-def apply_mapping(df: DataFrame, canonical: str, mapping: DataFrame, output: str) -> DataFrame:
-    """``df`` with the output of its canonical text. Spark broadcasts the mapping only if it is measured to be small."""
-    m = mapping.select(F.col("canonical").alias("__m"), F.col("output").alias(output))
-    return df.join(m, F.col(canonical) == F.col("__m"), "left").drop("__m")

@@ -70,7 +70,8 @@ def redraw_until_unique(
         bad = durable(bad.distinct())
         good = drawn.join(bad, "__row", "left_anti")
         for i in range(len(constraints)):
-            taken[i] = durable(taken[i].unionByName(good.select(F.col(f"__k{i}").alias("k")).where("k is not null")))
+            # what this attempt takes is in files already: nothing that was taken before is written again
+            taken[i] = taken[i].unionByName(good.select(F.col(f"__k{i}").alias("k")).where("k is not null"))
         result = good.select("__row", F.lit(attempt).alias("__attempt"), F.lit(False).alias("__fails"))
         done = result if done is None else done.unionByName(result)
         left = bad

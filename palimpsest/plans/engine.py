@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 from functools import reduce
 from typing import Any
 
@@ -16,19 +17,30 @@ from ..config import EngineConfig, ProgressEvent, RunOptions, Secret, assert_env
 from ..errors import InvalidReplacementValue, PalimpsestError
 from ..functions.jsonpaths import JsonPaths
 from ..functions.prng import Mersenne, cell_seed
-from ..functions.scalars import canonical
+from ..functions.scalars import attempted, canonical
 from ..functions.shapes import Shape
 from ..operators import jsondoc, relational
 from ..operators.keyed import candidates, keyed_column, unique_mapping
 from ..operators.unique import random_column, redraw_until_unique
-from ..sources.catalog import SchemaCatalog
-from ..sources.tables import durable
+from ..sources.catalog import SchemaCatalog, Spelling
+from ..sources.tables import durable, scratch
 from . import guards, validate
 from .identity import Identity, chunk_of, resolve_identity, with_position
 from .report import COMMITTED, DRY_RUN, ROLLED_BACK, ChunkReport, RunReport, TargetReport
 from .rules import Expression, Generator, Keyed, PerRow, RuleSet, Target, deterministic, is_static, keyed_of, resolve
 
 Sink = Callable[[str, DataFrame], None]
+#: Columns that JSON paths rewrite as documents and turn back.
+NESTED = (T.ArrayType, T.StructType, T.MapType)
+
+
+def readable(text: Column) -> Column:
+    """A text that Python can be given; null where its bytes are no UTF-8."""
+    return F.when(F.is_valid_utf8(text), text)
+
+
+def unreadable(text: Column) -> Column:
+    return F.when(~F.is_valid_utf8(text), "the value is not valid UTF-8")
 
 
 class Engine:
@@ -46,9 +58,21 @@ class Engine:
         return models + [Target(f"table:{name}", name, rules) for name, rules in self.config.tables.items()]
 
     def run(self, options: RunOptions = RunOptions()) -> RunReport:
+        """Intermediate tables, which hold old values, are deleted when the run ends; the new snapshots of ``frames`` stay."""
+        with scratch(self.spark) as kept:
+            return self._run(options, kept)
+
+    def _spelled(self, t: Target) -> Target:
+        if not isinstance(t.rules, RuleSet) or t.table not in self.catalog.tables:
+            return t
+        names = Spelling(self.catalog.tables[t.table].columns)
+        return replace(t, rules=t.rules.spelled(names), key_name=t.key_name and names.one(t.key_name))
+
+    def _run(self, options: RunOptions, kept: list[str]) -> RunReport:
         assert_environment(self.config, options)
         targets = self.targets(options)
         guards.check_targets(self.config.models, self.config.tables, targets)
+        targets = [self._spelled(t) for t in targets]
         ruled = [t for t in targets if t.rules is not None]
         for t in ruled:
             guards.check_schema(t, t.rules, self.catalog)
@@ -73,7 +97,7 @@ class Engine:
             else:
                 if self.frames[t.table] is not begun[t.table]:  # an earlier target has rewritten this table
                     placed[t.label] = with_position(self.frames[t.table], identities[t.label].columns, "__row")
-                one = self._run_target(t, t.rules, identities[t.label], placed[t.label], mappings, options)
+                one = self._run_target(t, t.rules, identities[t.label], placed[t.label], mappings, options, kept)
                 one.fk_enforcement = not any(t.table == table for g in groups for table, _ in g) or options.dry_run
                 report.targets.append(one)
         return report
@@ -96,11 +120,11 @@ class Engine:
                 frame, kind = placed[t.label], placed[t.label].schema[column].dataType
                 old = self._decoded(t.rules, column)
                 if path is None:
-                    found = frame.select(canonical(old, kind).alias("canonical"), F.lit(0).alias("element"), "__row")
+                    found = frame.select(readable(canonical(old, kind)).alias("canonical"), F.lit(0).alias("element"), "__row")
                     if any(column in u for u in self.catalog.tables[t.table].constraints()):
                         originals.append((frame, column))
                 else:
-                    leaves = jsondoc.leaf_inputs(t.rules.fields[column], [path], old.cast("string"))
+                    leaves = jsondoc.leaf_inputs(t.rules.fields[column], [path], readable(self._document(old, kind)))
                     found = frame.select(F.posexplode(leaves).alias("element", "canonical"), "__row")
                 rank = F.struct(F.lit(index).alias("target"), F.col("__row").alias("row"), F.lit(order).alias("field"), F.col("element").alias("element"))
                 inputs.append(found.where("canonical is not null").select("canonical", rank.alias("rank")))
@@ -111,35 +135,53 @@ class Engine:
 
     @staticmethod
     def _decoded(rules: RuleSet, column: str) -> Column:
-        return rules.codecs[column].decode(F.col(column)) if column in rules.codecs else F.col(column)
+        """The value that rules read; null where a codec fails, which is an error of the row."""
+        return attempted(rules.codecs[column].decode(F.col(column)))["v"] if column in rules.codecs else F.col(column)
 
-    def _run_target(self, t: Target, rules: RuleSet, identity: Identity, frame: DataFrame, mappings: Mapping[str, DataFrame], options: RunOptions) -> TargetReport:
+    @staticmethod
+    def _document(old: Column, kind: T.DataType) -> Column:
+        """Text of a document, which nested columns are too."""
+        return F.to_json(old, {"ignoreNullFields": "false"}) if isinstance(kind, NESTED) else old.cast("string")
+
+    def _run_target(self, t: Target, rules: RuleSet, identity: Identity, frame: DataFrame, mappings: Mapping[str, DataFrame], options: RunOptions, kept: list[str]) -> TargetReport:
         columns = self.frames[t.table].columns
         rows = frame.count()
         size = self.config.chunk.size_for(rows, options.chunk_size)
-        report = TargetReport(t.label, t.table, rows, size, -(-rows // size))
+        report = TargetReport(t.label, t.table, rows, size, -(-rows // size), status=DRY_RUN if options.dry_run else COMMITTED)
         self._tell(options, t, None, report, 0)
-        planned = durable(self._planned(t, rules, identity, frame, mappings).withColumn("__chunk", chunk_of(F.col("__row"), size)))
+        names = list(rules.fields)
+        place = {c: i for i, c in enumerate(names)}
+        made = self._planned(t, rules, identity, frame, mappings)
+        # the old values of rewritten columns aren't written
+        out = [F.col(f"__new{place[c]}").alias(c) if c in place else F.col(c) for c in columns]
+        planned = durable(made.select(*out, "__row", chunk_of(F.col("__row"), size).alias("__chunk"), "__error", *(f"__changed{i}" for i in range(len(names)))))
         first_bad = planned.where("__error is not null").agg(F.min(F.struct("__chunk", "__row", "__error")).alias("e")).first()["e"]
         cut = first_bad["__chunk"] if first_bad else None
-        attempted = planned if cut is None else planned.where(F.col("__chunk") <= cut)
-        status = DRY_RUN if options.dry_run else COMMITTED
-        done = 0
-        for b in relational.chunk_bounds(attempted, "__chunk", identity.columns).orderBy("__chunk").toLocalIterator():
-            bad = b["__chunk"] == cut
-            report.chunks.append(ChunkReport(b["__chunk"], b["n_rows"], b["first"].asDict(), b["last"].asDict(), ROLLED_BACK if bad else status, first_bad["__error"] if bad else None))
-            done += b["n_rows"]
-            self._tell(options, t, b["__chunk"], report, done)
-        kept = planned if cut is None else planned.where(F.col("__chunk") < cut)
-        names = list(rules.fields)
-        report.changed = kept.agg(*[F.count_if(f"__changed{i}").alias(c) for i, c in enumerate(names)]).first().asDict()
+        attempted_rows = planned if cut is None else planned.where(F.col("__chunk") <= cut)
+        bounds = relational.chunk_bounds(attempted_rows, "__chunk", identity.columns)
+        report.chunk_rows = durable(bounds.select(F.col("__chunk").alias("chunk"), "n_rows", "first", "last"))
+        kept.append(report.chunk_rows._palimpsest_path)
+        report.attempted = report.expected_chunks if cut is None else cut
+        report.done_rows = rows if cut is None else (cut - 1) * size
+        if cut is not None:
+            b = report.chunk_rows.where(F.col("chunk") == cut).first()
+            report.failed_chunk = ChunkReport(cut, b["n_rows"], b["first"].asDict(), b["last"].asDict(), ROLLED_BACK, first_bad["__error"])
+        if options.on_progress:  # one event at a time: the driver never holds them all
+            told = 0
+            for b in report.chunk_rows.orderBy("chunk").toLocalIterator():
+                told += b["n_rows"]
+                self._tell(options, t, b["chunk"], report, told)
+        good = planned if cut is None else planned.where(F.col("__chunk") < cut)
+        report.changed = good.agg(*[F.count_if(f"__changed{i}").alias(c) for i, c in enumerate(names)]).first().asDict()
         if not options.dry_run and (cut is None or cut > 1):
-            good = F.lit(True) if cut is None else F.col("__chunk") < cut
-            place = {c: i for i, c in enumerate(names)}
-            out = planned.select(*[F.when(good, F.col(f"__new{place[c]}")).otherwise(F.col(c)).alias(c) if c in place else F.col(c) for c in columns])
-            self.frames[t.table] = out
+            snapshot = good.select(*columns)
+            kept.append(planned._palimpsest_path)
+            if cut is not None:  # that chunk and later ones are as they were
+                snapshot = snapshot.unionByName(frame.where(F.col("__row") >= (cut - 1) * size).select(*columns))
+                kept.append(frame._palimpsest_path)
+            self.frames[t.table] = snapshot
             if self.sink:
-                self.sink(t.table, out)
+                self.sink(t.table, snapshot)
         return report
 
     @staticmethod
@@ -162,14 +204,22 @@ class Engine:
             value, raw_kind = F.col(f"__value{i}"), made.schema[f"__value{i}"].dataType
             code = validate.error_of(info.columns[c], value, raw_kind)
             if c in rules.codecs:
-                new = rules.codecs[c].encode(value).cast(kind)
-                checks = [F.col(f"__broken{i}")]
+                encoded = attempted(rules.codecs[c].encode(value).cast(kind))
+                new = encoded["v"]
+                unread = F.col(c).isNotNull() & attempted(rules.codecs[c].decode(F.col(c))).isNull()
+                checks = [F.when(unread, "the codec can't decode the stored value (message withheld)"), F.col(f"__broken{i}"), F.when(encoded.isNull(), "the codec can't encode the new value (message withheld)")]
+            elif isinstance(kind, NESTED):
+                same = value.eqNullSafe(self._document(F.col(c), kind))
+                new = F.when(same, F.col(c)).otherwise(attempted(F.from_json(value, kind, {"mode": "FAILFAST"}))["v"])
+                checks = [F.col(f"__broken{i}"), F.when(value.isNotNull() & new.isNull(), validate.TYPE)]
             else:
                 new = value if raw_kind == kind else value.try_cast(kind) if isinstance(raw_kind, T.StringType) else value.cast(kind)
                 checks = [F.col(f"__broken{i}"), code, F.when(value.isNotNull() & new.isNull(), validate.TYPE)]
             errors += [F.concat(F.lit(f"{c}: "), x) for x in checks]
             old = self._decoded(rules, c)
-            changed = ~value.eqNullSafe(old.cast(raw_kind)) if c in rules.codecs else ~new.eqNullSafe(F.col(c))
+            if isinstance(kind, NESTED):
+                old, raw_kind = self._document(old, kind), T.StringType()
+            changed = ~value.eqNullSafe(old.cast(raw_kind)) if c in rules.codecs or isinstance(kind, NESTED) else ~new.eqNullSafe(F.col(c))
             made = made.withColumns({f"__new{i}": new, f"__changed{i}": changed})
         return made.withColumn("__error", F.coalesce(*errors, F.lit(None).cast("string")))
 
@@ -185,7 +235,7 @@ class Engine:
                 if bound:
                     parts = []
                     for p, x in bound:
-                        leaves = frame.select("__row", F.explode(jsondoc.leaf_inputs(d, [p], self._decoded(rules, c).cast("string"))).alias("canonical"))
+                        leaves = frame.select("__row", F.explode(jsondoc.leaf_inputs(d, [p], readable(self._document(self._decoded(rules, c), frame.schema[c].dataType)))).alias("canonical"))
                         parts.append(leaves.distinct().join(mappings[x.namespace], "canonical").select("__row", F.concat(F.lit(x.namespace + "\x1f"), "canonical").alias("k"), "output"))
                     pairs = reduce(DataFrame.unionByName, parts).where("output is not null").distinct()
                     maps = pairs.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("k", "output"))).alias(f"__j{i}"))
@@ -238,17 +288,19 @@ class Engine:
         if isinstance(definition, Keyed):
             text = canonical(old, kind, f"{t.label}: {c}")
             if f"__m{i}" in frame.columns:
-                return F.col(f"__m{i}"), F.when(text.isNotNull() & F.col(f"__m{i}").isNull(), f"the namespace {definition.namespace} has no free value")
-            return keyed_column(self.key, definition.namespace, definition.shape, text), fine
+                return F.col(f"__m{i}"), F.coalesce(unreadable(text), F.when(text.isNotNull() & F.col(f"__m{i}").isNull(), f"the namespace {definition.namespace} has no free value"))
+            return keyed_column(self.key, definition.namespace, definition.shape, readable(text)), unreadable(text)
         if isinstance(definition, Shape):
             fills = isinstance(definition, Generator)
             text = old.cast("string") if fills else canonical(old, kind, f"{t.label}: {c}")
-            return random_column(self.run_seed, t.label, c, definition, text, F.col("__id"), F.col("__attempt"), fills), fine
+            return random_column(self.run_seed, t.label, c, definition, readable(text), F.col("__id"), F.col("__attempt"), fills), unreadable(text)
         if isinstance(definition, JsonPaths):
-            done = jsondoc.rewrite_column(definition, self._leaf_rule(t, c, definition), old.cast("string"), F.col(f"__j{i}"), F.col("__id"))
-            return done["value"], done["error"]
+            text = self._document(old, kind)
+            done = jsondoc.rewrite_column(definition, self._leaf_rule(t, c, definition), readable(text), F.col(f"__j{i}"), F.col("__id"))
+            return done["value"], F.coalesce(unreadable(text), done["error"])
         if isinstance(definition, Expression):
-            return definition.fn(old), fine
+            done = attempted(definition.fn(old))
+            return done["v"], F.when(done.isNull(), "the expression fails (message withheld)")
         if isinstance(definition, PerRow):
             done = self._per_row(definition, frame, old)
             return done["value"], done["error"]
@@ -260,7 +312,7 @@ class Engine:
         definitions = {p: resolve(d) for p, d in paths.definitions.items()}
         constants = {p for p, d in paths.definitions.items() if is_static(d)}
 
-        def replace(path: str, leaf: Any, mapping: dict[str, str], identity: str) -> Any:
+        def new_leaf(path: str, leaf: Any, mapping: dict[str, str], identity: str) -> Any:
             d = definitions[path]
             if path in constants:
                 return d.value if hasattr(d, "value") and hasattr(d, "name") else d
@@ -275,7 +327,7 @@ class Engine:
                 return d.fn(leaf, {})
             raise InvalidReplacementValue(f'path "{path}": this kind of definition needs a column')
 
-        return replace
+        return new_leaf
 
     @staticmethod
     def _per_row(definition: PerRow, frame: DataFrame, old: Column) -> Column:

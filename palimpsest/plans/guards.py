@@ -62,8 +62,8 @@ def check_schema(target: Target, rules: RuleSet, catalog: SchemaCatalog) -> None
     for column, definition in rules.fields.items():
         if not isinstance(definition, JsonPaths):
             continue
-        if info.columns[column].family not in ("json", "string"):
-            raise InvalidConfiguration(f"{target.label}: {column} is of family {info.columns[column].family}, not json or string")
+        if info.columns[column].family not in ("json", "string", "nested"):
+            raise InvalidConfiguration(f"{target.label}: {column} is of family {info.columns[column].family}, not json, string or nested")
         if column in rules.codecs and not rules.codecs[column].json:
             raise InvalidConfiguration(f"{target.label}: the codec of {column} doesn't hold JSON")
         for path, inner in definition.definitions.items():

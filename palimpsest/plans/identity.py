@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import UnpageableTable
 from ..operators import relational
 from ..sources.catalog import TableInfo
+from ..sources.tables import durable
 from .rules import RuleSet, Target
 
 #: Families whose equality and order are the same everywhere.
@@ -62,10 +63,8 @@ def with_position(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFra
     """``df`` with the 0-based place of each row in the order of ``columns``.
 
     Rows are sorted in ranges, and each range's rows are numbered on from the ranges before it; one number per range goes
-    back to the tasks. The sorted rows are written to the checkpoint folder, so that both uses see the same ranges.
+    back to the tasks. The sorted rows are written to the scratch folder, so that both uses see the same ranges.
     """
-    from ..sources.tables import durable
-
     low = F.lit((1 << 33) - 1)
     ordered = df.repartitionByRange(*[F.col(c) for c in columns]).sortWithinPartitions(*columns)
     ordered = durable(ordered.withColumn("__range", F.spark_partition_id()).withColumn("__place", F.monotonically_increasing_id().bitwiseAND(low)))
@@ -74,7 +73,9 @@ def with_position(df: DataFrame, columns: tuple[str, ...], name: str) -> DataFra
         base.append((r["__range"], total))
         total += r["count"]
     offsets = F.broadcast(df.sparkSession.createDataFrame(base, "__range int, __base bigint"))
-    return ordered.join(offsets, "__range").withColumn(name, F.col("__base") + F.col("__place")).drop("__range", "__place", "__base")
+    out = ordered.join(offsets, "__range").withColumn(name, F.col("__base") + F.col("__place")).drop("__range", "__place", "__base")
+    out._palimpsest_path = ordered._palimpsest_path
+    return out
 
 
 def chunk_of(position: Column, size: int) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 COMMITTED, ROLLED_BACK, DRY_RUN = "committed", "rolled_back", "dry_run"
 CHUNK_SCHEMA = "target string, chunk bigint, n_rows bigint, first string, last string, status string, error string"
@@ -24,30 +25,47 @@ class ChunkReport:
 
 @dataclass
 class TargetReport:
+    """``chunk_rows``: a row per attempted chunk (chunk, n_rows, first, last), as there may be too many for the driver."""
+
     target: str
     table: str
     rows: int = 0
     chunk_size: int = 0
     expected_chunks: int = 0
-    chunks: list[ChunkReport] = field(default_factory=list)
+    attempted: int = 0
+    done_rows: int = 0
+    status: str = COMMITTED
+    failed_chunk: ChunkReport | None = None
     changed: dict[str, int] = field(default_factory=dict)
     skipped: str | None = None
     fk_enforcement: bool = True
+    chunk_rows: DataFrame | None = field(default=None, repr=False, compare=False)
 
     @property
     def failed(self) -> bool:
-        return any(c.status == ROLLED_BACK for c in self.chunks)
+        return self.failed_chunk is not None
 
     @property
     def rows_sanitized(self) -> int:
-        return sum(c.rows for c in self.chunks if c.status == COMMITTED)
+        return self.done_rows if self.status == COMMITTED else 0
 
     @property
     def chunks_not_attempted(self) -> int:
-        return max(0, self.expected_chunks - len(self.chunks))
+        return max(0, self.expected_chunks - self.attempted)
+
+    @property
+    def chunks(self) -> list[ChunkReport]:
+        """All chunks, on the driver: for runs of few."""
+        found = [] if self.chunk_rows is None else self.chunk_rows.orderBy("chunk").collect()
+        out = [ChunkReport(r["chunk"], r["n_rows"], r["first"].asDict(), r["last"].asDict(), self.status) for r in found]
+        return [*out[:-1], self.failed_chunk] if self.failed_chunk else out
 
     def to_dict(self) -> dict[str, Any]:
-        return asdict(self) | {"failed": self.failed, "rows_sanitized": self.rows_sanitized, "chunks_not_attempted": self.chunks_not_attempted}
+        """Without the chunks, but for a failed one; :meth:`RunReport.to_df` has them."""
+        own = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("chunk_rows", "failed_chunk")}
+        return own | {
+            "failed_chunk": asdict(self.failed_chunk) if self.failed_chunk else None, "failed": self.failed, "rows_sanitized": self.rows_sanitized, "chunks_not_attempted": self.chunks_not_attempted,
+        }
 
 
 @dataclass
@@ -75,8 +93,13 @@ class RunReport:
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         """One row per chunk."""
-        rows = [
-            (t.target, c.chunk, c.rows, json.dumps(c.first, default=str), json.dumps(c.last, default=str), c.status, c.error)
-            for t in self.targets for c in t.chunks
-        ]
-        return spark.createDataFrame(rows, CHUNK_SCHEMA)
+        out = spark.createDataFrame([], CHUNK_SCHEMA)
+        for t in self.targets:
+            if t.chunk_rows is None:
+                continue
+            bad = F.col("chunk") == (t.failed_chunk.chunk if t.failed_chunk else -1)
+            out = out.unionByName(t.chunk_rows.select(
+                F.lit(t.target).alias("target"), "chunk", "n_rows", F.to_json("first").alias("first"), F.to_json("last").alias("last"),
+                F.when(bad, ROLLED_BACK).otherwise(t.status).alias("status"), F.when(bad, t.failed_chunk.error if t.failed_chunk else None).alias("error"),
+            ))
+        return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import enum
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column
@@ -13,6 +13,7 @@ from ..errors import InvalidConfiguration
 from ..functions.jsonpaths import JsonPaths
 from ..functions.prng import Draws
 from ..functions.shapes import BankAccount, KeepLength, Nric, Pattern, Shape, Sst, State, is_namespace
+from ..sources.catalog import Spelling
 
 
 @dataclass(frozen=True)
@@ -125,15 +126,6 @@ def is_static(definition: Any) -> bool:
     return not isinstance(resolve(definition), (Keyed, Shape, JsonPaths, Expression, PerRow))
 
 
-def reads_value(definition: Any) -> bool:
-    return isinstance(resolve(definition), (Keyed, JsonPaths, Expression, PerRow)) or isinstance(resolve(definition), Shape) and not isinstance(resolve(definition), Generator)
-
-
-def fills_nulls(definition: Any) -> bool:
-    d = resolve(definition)
-    return is_static(d) or isinstance(d, (Generator, Expression, PerRow))
-
-
 def deterministic(definition: Any) -> bool:
     """Whether a retry would give the same value again."""
     d = resolve(definition)
@@ -163,6 +155,15 @@ class RuleSet:
     key_name: str | None = None
 
 
+    def spelled(self, names: Spelling) -> RuleSet:
+        """The rules with columns named as their table spells them."""
+        one = names.one
+        return replace(
+            self, fields={one(c): d for c, d in self.fields.items()}, categorical=[one(c) for c in self.categorical], paging_key=[one(c) for c in self.paging_key],
+            mirrors={one(c): m for c, m in self.mirrors.items()}, codecs={one(c): d for c, d in self.codecs.items()},
+        )
+
+
 @dataclass(frozen=True)
 class Target:
     """``label`` is the model's name, or ``table:<name>``."""

@@ -20,7 +20,7 @@ from .plans import validate
 from .plans.engine import Engine
 from .plans.guards import components
 from .plans.identity import chunk_of, with_position
-from .plans.rules import Expression, RuleSet, keyed_pattern
+from .plans.rules import Expression, RuleSet, keyed, keyed_pattern
 from .sources.catalog import ColumnInfo, ForeignKey, SchemaCatalog
 
 #: A public test key, the same as in the SQL below.
@@ -177,12 +177,12 @@ def comparison_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), comparison_key(F.col("c_name")).alias("key"))
 
 
-@query("""SELECT c_custkey AS id, form, CASE form WHEN 4 THEN NULL WHEN 3 THEN CASE WHEN c_custkey = 0 THEN '0' ELSE '-' || c_custkey || '.5' END ELSE c_custkey::VARCHAR END AS number
-FROM customer, (VALUES (0), (1), (2), (3), (4)) f(form) WHERE c_custkey > 0""")
+@query("""SELECT c_custkey AS id, form, CASE form WHEN 4 THEN NULL WHEN 3 THEN '-' || c_custkey || '.5' ELSE c_custkey::VARCHAR END AS number
+FROM customer, (VALUES (0), (1), (2), (3), (4)) f(form)""")
 def canonical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey").cast("string")
     forms = F.array(F.concat(F.lit("00"), key), F.concat(F.lit("+"), key), F.concat(key, F.lit(".00")), F.concat(F.lit("-0"), key, F.lit(".50")), F.concat(key, F.lit("e1")))
-    rows = table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("id"), F.posexplode(forms).alias("form", "text"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.posexplode(forms).alias("form", "text"))
     return rows.select("id", "form", canonical_number(F.col("text")).alias("number"))
 
 
@@ -330,20 +330,37 @@ def nric_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("valid"))
 
 
-@query("SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey")
+PATTERN_SQL = "SELECT id, string_agg({symbol}, '' ORDER BY i) AS output FROM d GROUP BY id"
+LETTER_SQL = "chr((65 + r % 26)::INTEGER)"
+
+
+def _letters_sql(source: str, key: str, text: str, namespace: str, n: int) -> str:
+    return keyed_sql(source, key, text, namespace, n, PATTERN_SQL.format(symbol=LETTER_SQL))
+
+
+@query(f"SELECT o_orderkey AS id, k.output AS customer FROM orders JOIN ({_letters_sql('customer', 'c_custkey', 'c_custkey::VARCHAR', 'cust', 12)}) k ON o_custkey = k.id")
 def keyed_cross_table_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the customer's replacement: made from the orders' own column, and found again among the customers'."""
     shape = Pattern("????????????")
     o = _keyed(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "cust", shape)
     c = _keyed(spark, sf_dir, "customer", "c_custkey", "c_custkey", "cust", shape)
-    return o.join(c.select("output"), "output").agg(F.count(F.lit(1)).alias("n"))
+    return o.join(c.select("output"), "output").select("id", F.col("output").alias("customer"))
 
 
-@query("SELECT count(*) AS n FROM customer")
+@query(f"SELECT id, output AS a, output AS b FROM ({_letters_sql('customer', 'c_custkey', 'c_custkey::VARCHAR', 'same', 8)})")
 def keyed_int_equals_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     number = keyed_column(TEST_KEY, "same", Pattern("????????"), canonical(F.col("c_custkey"), c.schema["c_custkey"].dataType))
     text = keyed_column(TEST_KEY, "same", Pattern("????????"), F.col("c_custkey").cast("string"))
-    return c.select(number.alias("a"), text.alias("b")).agg(F.count_if(F.col("a") == F.col("b")).alias("n"))
+    return c.select(F.col("c_custkey").alias("id"), number.alias("a"), text.alias("b"))
+
+
+@query(f"SELECT id AS canonical, output FROM ({_letters_sql('(SELECT DISTINCT s_name FROM supplier)', 's_name', 's_name', 'supplier', 16)})")
+def unique_mapping_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a namespace so wide that every input has its first candidate."""
+    s = table(spark, sf_dir, "supplier")
+    inputs = s.groupBy(F.col("s_name").alias("canonical")).agg(F.min("s_suppkey").alias("rank"))
+    return unique_mapping(inputs, relational.forbidden_originals([(s, "s_name")]), TEST_KEY, "supplier", Pattern("?" * 16))
 
 
 @query("SELECT count(*) AS n, count(*) AS outputs, 0::BIGINT AS originals, 0::BIGINT AS missing FROM (SELECT DISTINCT s_name FROM supplier)")
@@ -467,14 +484,11 @@ def dry_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.run(RunOptions(chunk_size=400, dry_run=True)).to_df(spark).select("target", "chunk", "n_rows", "status")
 
 
-@query("SELECT count(*) AS n, count(*) AS same, count(*) AS names FROM customer")
+@query(f"SELECT c_custkey, c_nationkey, c_acctbal, k.output AS c_name FROM customer JOIN ({_letters_sql('customer', 'c_custkey', 'c_name', 'name', 10)}) k ON c_custkey = k.id")
 def undeclared_columns_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = _customer_engine(spark, sf_dir, RuleSet({"c_name": keyed_pattern("name", "??????????"), "c_mktsegment": "BUILDING"}, categorical=["c_mktsegment"]))
-    old = engine.frames["customer"]
     engine.run()
-    new = engine.frames["customer"].select("c_custkey", "c_nationkey", "c_acctbal", F.col("c_name").alias("new_name"))
-    joined = old.join(new, ["c_custkey", "c_nationkey", "c_acctbal"])
-    return joined.agg(F.lit(old.count()).alias("n"), F.count(F.lit(1)).alias("same"), F.count_distinct("new_name").alias("names"))
+    return engine.frames["customer"].select("c_custkey", "c_nationkey", "c_acctbal", "c_name")
 
 
 @query("SELECT count(*) AS n FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)")
@@ -533,11 +547,41 @@ def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_row(spark, props=F.lit(valid("events", "props")).cast("bigint"), html=F.lit(valid("pages", "html")).cast("bigint"))
 
 
+NAME_SQL = keyed_sql(
+    "customer", "c_custkey", "c_name", "name", 10,
+    f"SELECT id, string_agg(CASE WHEN i <= 3 THEN {LETTER_SQL} WHEN i = 4 THEN '-' || (r % 10)::VARCHAR ELSE (r % 10)::VARCHAR END, '' ORDER BY i) AS output FROM d GROUP BY id",
+)
+SEGMENT_SQL = _kept_sql("customer", "c_custkey", "c_mktsegment", "segment", "p > n - 4", 12)
+
+
+@query(f"SELECT c_custkey, n.output AS c_name, c_nationkey, c_acctbal, s.output AS c_mktsegment FROM customer JOIN ({NAME_SQL}) n ON c_custkey = n.id LEFT JOIN ({SEGMENT_SQL}) s ON c_custkey = s.id")
 def sanitized_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: keyed names, resampled segments, all else unchanged."""
-    engine = _customer_engine(spark, sf_dir, RuleSet({"c_name": keyed_pattern("name", "???-#######"), "c_mktsegment": "BUILDING"}, categorical=["c_mktsegment"]))
+    """The flagship: keyed names that stay unique, keyed segments of the same form, all else unchanged."""
+    engine = _customer_engine(spark, sf_dir, RuleSet({"c_name": keyed_pattern("name", "???-#######"), "c_mktsegment": keyed("segment", shapes.KeepLast(4))}))
     engine.run()
     return engine.frames["customer"]
 
 
-QUERIES["sanitized_customer"] = sanitized_customer
+@query("""SELECT o_orderkey AS id, array_agg('-') AS words, o_custkey AS number FROM (SELECT o_orderkey, o_custkey, unnest(string_split(o_orderpriority, '-')) AS w FROM orders) GROUP BY 1, 3""")
+def json_array_carrier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths into a column of arrays and one of structs, which come back as what they were."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.split("o_orderpriority", "-").alias("words"), F.struct(F.col("o_custkey").alias("number"), F.col("o_orderpriority").alias("text")).alias("who"),
+    )
+    catalog = SchemaCatalog.of({"o": o.schema}, {"o": ["id"]})
+    rules = RuleSet({"words": JsonPaths({"*": "-"}), "who": JsonPaths({"text": "gone"})})
+    engine = Engine(spark, EngineConfig(models={"o": rules}, environment="testing"), catalog, {"o": o})
+    engine.run()
+    return engine.frames["o"].where("who.text = 'gone'").select("id", "words", "who.number")
+
+
+@query("""WITH o AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) // 100 + 1 AS chunk FROM customer),
+f AS (SELECT min(chunk) AS f FROM o WHERE c_custkey % 777 = 776)
+SELECT chunk, count(*) AS n_rows, CASE WHEN chunk = f THEN 'rolled_back' ELSE 'committed' END AS status, CASE WHEN chunk = f THEN 'c_name: the expression fails (message withheld)' END AS error
+FROM o, f WHERE f IS NULL OR chunk <= f GROUP BY chunk, f""")
+def row_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression that fails for some rows: the first chunk that has one is the last one attempted, and its message isn't shown."""
+    fails = Expression(lambda c: F.when(F.col("c_custkey") % 777 == 776, F.raise_error(c)).otherwise(F.lit("x")))
+    c = table(spark, sf_dir, "customer")
+    engine = Engine(spark, EngineConfig(models={"customer": RuleSet({"c_name": fails})}, environment="testing"), SchemaCatalog.of({"customer": c.schema}, {"customer": ["c_custkey"]}), {"customer": c})
+    return engine.run(RunOptions(chunk_size=100)).to_df(spark).select("chunk", "n_rows", "status", "error")

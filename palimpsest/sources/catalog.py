@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -25,37 +24,14 @@ FAMILY_OF = {name: family for family, names in FAMILIES.items() for name in name
 
 def family_of(native: str) -> str:
     native = native.strip().lower()
-    if native == "tinyint(1)":
-        return "boolean"
-    return FAMILY_OF.get(re.sub(r"\(.*\)$", "", native).strip(), "other")
+    return "boolean" if native == "tinyint(1)" else FAMILY_OF.get(native.partition("(")[0].strip(), "other")
 
 
-def max_length_of(dialect: str, native: str) -> int | None:
-    """In characters. SQLite enforces none; an array type carries the length of its elements, not its own."""
-    native = native.lower()
-    if dialect in ("mysql", "mariadb"):
-        m = re.match(r"(?:var)?char\((\d+)\)", native)
-    elif dialect in ("pgsql", "spark"):
-        m = re.fullmatch(r"(?:character varying|varchar|character|char|bpchar)\((\d+)\)", native)
-    else:
-        m = None
-    return int(m[1]) if m else None
-
-
-def quoted_list(text: str) -> list[str]:
-    return [x.replace("''", "'") for x in re.findall(r"'((?:[^']|'')*)'", text)]
-
-
-def allowed_of(dialect: str, native: str, column: str = "", ddl: str | None = None) -> list[str] | None:
-    """Members of an enum or set, or of a CHECK (column IN (...)) in a table's definition."""
-    if dialect in ("mysql", "mariadb"):
-        m = re.fullmatch(r"(?:enum|set)\((.*)\)", native, re.IGNORECASE | re.DOTALL)
-        return quoted_list(m[1]) if m else None
-    if dialect == "sqlite" and ddl:
-        name = rf'["`]?{re.escape(column)}["`]?'
-        m = re.search(rf"{name}\s+[^,]*?check\s*\(\s*{name}\s+in\s*\(((?:\s*'(?:[^']|'')*'\s*,?)+)\)\s*\)", ddl, re.IGNORECASE | re.DOTALL)
-        return quoted_list(m[1]) if m else None
-    return None
+def declared_length(native: str) -> int | None:
+    """Characters of a text type that says how many, as varchar(12) does."""
+    name, _, rest = native.strip().partition("(")
+    size, _, after = rest.partition(")")
+    return int(size) if family_of(name) == "string" and size.strip().isdigit() and not after.strip() else None
 
 
 @dataclass(frozen=True)
@@ -68,12 +44,30 @@ class ColumnInfo:
     native_type: str | None = None
 
 
+class Spelling:
+    """Names as a table spells them, whatever the case they are asked for in; as Spark resolves columns."""
+
+    def __init__(self, names: Iterable[str]) -> None:
+        self.names = list(names)
+        self.folded: dict[str, str] = {}
+        for n in self.names:
+            self.folded.setdefault(n.lower(), n)
+
+    def one(self, name: str) -> str:
+        return name if name in self.names else self.folded.get(name.lower(), name)
+
+    def of(self, names: Iterable[str]) -> tuple[str, ...]:
+        return tuple(map(self.one, names))
+
+
 @dataclass(frozen=True)
 class ForeignKey:
+    """Without ``parent_columns`` it points at the parent's primary key."""
+
     child_table: str
     child_columns: tuple[str, ...]
     parent_table: str
-    parent_columns: tuple[str, ...]
+    parent_columns: tuple[str, ...] = ()
 
     def pairs(self) -> list[tuple[str, str]]:
         return list(zip(self.child_columns, self.parent_columns))
@@ -96,10 +90,11 @@ def _from_spark(field_: T.StructField) -> ColumnInfo:
         T.BooleanType: "boolean", T.ByteType: "integer", T.ShortType: "integer", T.IntegerType: "integer", T.LongType: "integer",
         T.DecimalType: "decimal", T.FloatType: "decimal", T.DoubleType: "decimal", T.DateType: "datetime", T.TimestampType: "datetime",
         T.TimestampNTZType: "datetime", T.StringType: "string", T.VarcharType: "string", T.CharType: "string", T.BinaryType: "binary", T.VariantType: "json",
+        T.ArrayType: "nested", T.StructType: "nested", T.MapType: "nested",
     }
     native = meta.get("native_type") or meta.get("__CHAR_VARCHAR_TYPE_STRING") or kind.simpleString()
     family = family_of(meta["native_type"]) if "native_type" in meta else families.get(type(kind), "other")
-    length = meta.get("max_length", max_length_of("spark", native))
+    length = meta.get("max_length", declared_length(native))
     allowed = tuple(meta["allowed"]) if "allowed" in meta else None
     return ColumnInfo(field_.name, family, field_.nullable, length, allowed, native)
 
@@ -119,12 +114,19 @@ class SchemaCatalog:
         for name, schema in schemas.items():
             own = {f.name: _from_spark(f) for f in schema.fields}
             for column, more in (columns or {}).get(name, {}).items():
-                more = dict(more)
+                column, more = Spelling(own).one(column), dict(more)
                 if "native_type" in more:
                     more.setdefault("family", family_of(str(more["native_type"])))
                 own[column] = replace(own[column], **more)
-            tables[name] = TableInfo(own, tuple((primary_keys or {}).get(name, ())), tuple(tuple(u) for u in (unique or {}).get(name, ())))
-        return cls(tables, tuple(foreign_keys))
+            spelled = Spelling(own)
+            tables[name] = TableInfo(own, spelled.of((primary_keys or {}).get(name, ())), tuple(map(spelled.of, (unique or {}).get(name, ()))))
+        edges = []
+        for fk in foreign_keys:
+            parent = tables.get(fk.parent_table)
+            ends = fk.parent_columns or (parent.primary_key if parent else ())  # a key that names no columns means the primary key
+            child = Spelling(tables[fk.child_table].columns if fk.child_table in tables else ()).of(fk.child_columns)
+            edges.append(ForeignKey(fk.child_table, child, fk.parent_table, Spelling(parent.columns if parent else ()).of(ends)))
+        return cls(tables, tuple(edges))
 
     def touching(self, table: str, column: str) -> list[tuple[ForeignKey, str, str, str, str]]:
         """Edges with the column on either side: (key, child table, child column, parent table, parent column)."""
@@ -134,3 +136,7 @@ class SchemaCatalog:
                 if (fk.child_table, child) == (table, column) or (fk.parent_table, parent) == (table, column):
                     out.append((fk, fk.child_table, child, fk.parent_table, parent))
         return out
+
+    def referencing(self, table: str) -> list[ForeignKey]:
+        """Foreign keys of any table that point at this one."""
+        return [fk for fk in self.foreign_keys if fk.parent_table == table]

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +172,65 @@ def test_bad_documents_and_codecs(spark):
     assert e.frames["t"].select(F.unbase64("ssn").cast("string")).first()[0][-1] == "c"
 
 
+def test_paths_reach_into_arrays_structs_and_maps(spark):
+    kind = "id long, tags array<string>, who struct<name: string, born: date, ids: array<bigint>>, more map<string, string>"
+    rows = [(1, ["a", "b", None], ("Ann", None, [1, 2]), {"k": "v", "o": None}), (2, None, None, None), (3, [], ("", None, None), {})]
+    value = keyed("name", KeepLength())
+    rules = RuleSet({"tags": JsonPaths({"*": "-"}), "who": JsonPaths({"name": value, "ids->*": 0}), "more": JsonPaths({"k": value})})
+    e = engine(spark, {"t": (rows, kind)}, {"t": rules})
+    schema = e.frames["t"].schema
+    report = e.run()
+    new = {r["id"]: r for r in e.frames["t"].collect()}
+    name = candidates(Secret(KEY), "name", KeepLength(), ["Ann", "v"], [0, 0])
+    assert not report.failed and e.frames["t"].schema.simpleString() == schema.simpleString()
+    assert new[1]["tags"] == ["-", "-", None] and new[1]["who"].asDict() == {"name": name[0], "born": None, "ids": [0, 0]} and new[1]["more"] == {"k": name[1], "o": None}
+    assert (new[2]["tags"], new[2]["who"], new[2]["more"]) == (None, None, None) and new[3]["tags"] == [] and new[3]["more"] == {}
+    assert report.targets[0].changed == {"tags": 1, "who": 1, "more": 1}  # an empty name keeps its length
+    bad = engine(spark, {"t": (rows, kind)}, {"t": RuleSet({"who": JsonPaths({"ids->*": "no number"})})}).run()
+    assert bad.targets[0].failed_chunk.error == "who: type_mismatch"
+
+
+def test_failing_expressions_codecs_and_bytes_are_errors_of_their_rows(spark):
+    frame = spark.createDataFrame([(i, str(i) if i != 7 else "seven", None) for i in range(12)], "id long, text string, other string")
+    for rules, error in (
+        (RuleSet({"text": Expression(lambda c: c.cast("int").cast("string"))}), "text: the expression fails (message withheld)"),
+        (RuleSet({"text": "9"}, codecs={"text": Codec(encode=lambda c: c, decode=lambda c: c.cast("int").cast("string"))}), "text: the codec can't decode the stored value (message withheld)"),
+        (RuleSet({"text": Expression(lambda c: c)}, codecs={"text": Codec(encode=lambda c: c.cast("int").cast("string"))}), "text: the codec can't encode the new value (message withheld)"),
+    ):
+        e = engine(spark, {"t": frame}, {"t": rules})
+        t = e.run(RunOptions(chunk_size=5)).targets[0]
+        assert t.failed_chunk.chunk == 2 and t.failed_chunk.error == error and t.rows_sanitized == 5
+    broken = frame.withColumn("text", F.when(F.col("id") == 7, F.unhex(F.lit("ff61")).cast("string")).otherwise(F.col("text")))
+    for definition in (KeepLength(), keyed("n", KeepLength()), JsonPaths({"a": 1})):
+        e = engine(spark, {"t": broken}, {"t": RuleSet({"text": definition})})
+        assert e.run(RunOptions(chunk_size=5)).targets[0].failed_chunk.error == "text: the value is not valid UTF-8"
+
+
+def test_names_are_found_whatever_their_case(spark):
+    frame = spark.createDataFrame(users(6)[0], "Id long, eMail string, role string, note string")
+    catalog = {"primary_keys": {"users": ["ID"]}, "unique": {"users": [["EMAIL"]]}, "foreign_keys": [ForeignKey("orders", ("USER_ID",), "users")]}
+    frames = {"users": frame, "orders": spark.createDataFrame(*ORDERS)}
+    e = engine(spark, frames, {"users": RuleSet({"EMail": keyed_pattern("mail", "????????")})}, catalog=catalog)
+    assert e.catalog.foreign_keys == (ForeignKey("orders", ("user_id",), "users", ("Id",)),) and len(e.catalog.referencing("users")) == 1
+    report = e.run()
+    assert report.targets[0].changed == {"eMail": 6} and e.frames["users"].columns == frame.columns
+    with pytest.raises(UnsafeColumn):
+        engine(spark, frames, {"orders": RuleSet({"User_ID": 1})}, catalog=dict(catalog)).run()
+
+
+def test_no_old_value_is_left_in_the_scratch_folder(spark):
+    names = [f"Person Number {i}" for i in range(20)]
+    frame = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id long, name string")
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("*.parquet"))
+    e = engine(spark, {"t": frame}, {"t": RuleSet({"name": keyed_pattern("name", "????????")})}, catalog={"unique": {"t": [["name"]]}})
+    e.run()
+    left = {p.parent for p in set(root.rglob("*.parquet")) - before}
+    found = [str(v) for folder in left for r in spark.read.parquet(str(folder)).collect() for v in r]
+    assert len(left) == 2 and e.frames["t"].count() == 20  # the snapshot, and the report's chunks
+    assert not any(n in v for n in names for v in found)
+
+
 def test_python_functions_see_the_row(spark):
     e = engine(spark, {"users": users(4)}, {"users": RuleSet({"note": lambda value, row: f"{row['role']}:{value}"})})
     e.run()
