@@ -1,7 +1,8 @@
 """Exact top-k search by the threshold algorithm.
 
-Components are scaled to integers. Vectors and queries are packed into blocks; each pair of a vector block and a query block is
-searched by Fagin's threshold algorithm over the block's lists, one per dimension, each sorted by component: the
+Components are scaled to integers. Vectors and queries are packed into blocks. A vector block goes to a task once for each wave of query
+blocks, which follow it one by one; each pair of blocks is
+searched by Fagin's threshold algorithm over the vector block's lists, one per dimension, sorted once by component: the
 lists are read in step from the end that the query's sign favours, rows seen for the first time are scored in full, and the
 search stops when the scores of the last entries read, the bound of any unseen row, can't beat the k-th result. The k best of
 each pair of blocks then meet in one ranking per query.
@@ -17,8 +18,12 @@ from pyspark.sql import functions as F
 #: Rows of a block of vectors, and of queries.
 VECTOR_BLOCK = 16_384
 QUERY_BLOCK = 512
+#: Query blocks that one copy of a vector block meets.
+WAVE = 256
 #: Entries first read of each list; every further read doubles the depth.
 FIRST_DEPTH = 16
+#: What the score column can hold.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def sorted_lists(vectors: np.ndarray) -> np.ndarray:
@@ -95,35 +100,40 @@ def top_k(
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of each query.
 
     Components are floor(64 * x), x as double. Queries are the rows whose id is divisible by ``query_every``, candidates
-    every row but those with the query's id. A vector that is null or holds a null or non-finite component takes no part,
-    nor does a row without an id; a shorter vector counts as if zeros followed, an empty one as zeros alone. Ties go to the
-    smaller id. Repeated rows are candidates of their own; a repeated query gives its answers once. Sums below 2^53 are exact in
-    doubles, larger ones are made of Python integers (the score column holds 64 bits: beyond, the query fails). Other columns play
-    no part. An empty table gives an empty table.
+    every row but those with the query's id. A vector that is null or holds a null or non-finite component takes no part (nor does one
+    whose component is too large to be multiplied by 64), nor does a row without an id; a shorter vector counts as if zeros followed, an empty one as
+    zeros alone. Ties go to the smaller id. Repeated rows are candidates of their own; a repeated query id gives its answers once, those of its least
+    vector. Sums below 2^53 are exact in doubles, larger ones are made of Python integers; the score column, of 64 bits, then holds the nearest
+    number that it can. Other columns play no part. An empty table gives an empty table.
     """
     value = F.col(vector_col).cast("array<double>")
-    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    finite = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * 64.0) < F.lit(float("inf"))))
     able = vectors.select(F.col(id_col).cast("bigint").alias("id"), value.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
-    queries = able.where(F.col("id") % query_every == 0).dropDuplicates(["id"])
+    queries = able.where(F.col("id") % query_every == 0).groupBy("id").agg(F.min("v").alias("v"))
     left = _pack(able, "bigint", vector_block, "v")
     right = _pack(queries, "bigint", query_block, "q")
-    right = right.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    # each block of queries meets each block of vectors, as whole blocks: two tables of a row per block
     q_blocks, v_blocks = max(1, -(-queries.count() // query_block)), max(1, -(-able.count() // vector_block))
-    left = left.withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = right.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    met = left.join(right, (F.col("meets") == F.col("q_block")) & (F.col("at") == F.col("block")))
+    wave = F.floor(F.col("block") / WAVE).cast("int")
+    waves = F.sequence(F.lit(0), F.lit((q_blocks - 1) // WAVE))
+    first = left.select("block", F.explode(waves).alias("wave"), F.lit(-1).alias("asks"), "ids", "width", "data")
+    then = right.select(F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("block"), wave.alias("wave"), F.col("block").alias("asks"), "ids", "width", "data")
+    # a vector block comes before the query blocks of its wave, and stays while they pass
+    dealt = first.unionByName(then).repartition("block", "wave").sortWithinPartitions("block", "wave", "asks")
 
     def search(batches):
         held, lists, vectors_, ids = None, None, None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if held != row["block"]:
-                    held, ids = row["block"], np.frombuffer(row["ids"], np.int64)
+                place = (row["block"], row["wave"])
+                if row["asks"] < 0:
+                    held, ids = place, np.frombuffer(row["ids"], np.int64)
                     vectors_ = np.frombuffer(row["data"]).reshape(len(ids), row["width"])
                     lists = sorted_lists(vectors_)
-                q_ids = np.frombuffer(row["q_ids"], np.int64)
-                q = np.frombuffer(row["q_data"]).reshape(len(q_ids), row["q_width"])
+                    continue
+                if held != place:  # the hash left this block empty
+                    continue
+                q_ids = np.frombuffer(row["ids"], np.int64)
+                q = np.frombuffer(row["data"]).reshape(len(q_ids), row["width"])
                 w = min(q.shape[1], vectors_.shape[1])
                 q, v = q[:, :w], np.ascontiguousarray(vectors_[:, :w])
                 if v.size and q.size and np.abs(v).max() * np.abs(q).max() * w >= 2.0**53:
@@ -132,9 +142,9 @@ def top_k(
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(q_ids, [len(f[0]) for f in found])),
                     pa.array(np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), pa.int64()),
-                    pa.array([int(s) for f in found for s in f[1]], pa.int64()),
+                    pa.array([max(LEAST, min(MOST, int(s))) for f in found for s in f[1]], pa.int64()),
                 ], names=["query_id", "vec_id", "score"])
 
-    found = met.select("block", "ids", "width", "data", "q_ids", "q_width", "q_data").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

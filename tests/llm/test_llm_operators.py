@@ -131,6 +131,15 @@ def test_threshold_search_stops_early_and_keeps_large_numbers_exact():
     assert np.array_equal(ids, order) and np.array_equal(scores, (v @ q)[order])
 
 
+def test_top_k_of_large_numbers_and_repeated_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE", 2)
+    rows = [(0, [1e308, 0.0]), (20, [1e15, 1.0]), (21, [1e15, 2.0]), (22, [-1e15, 0.0]), (40, [2.0, 0.0]), (40, [1.0, 0.0]), (41, [1e300, 0.0])] + [(100 + 20 * i, [0.0, 0.0]) for i in range(9)]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, query_block=2, vector_block=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert 0 not in got and got[40] == [(41, topk.MOST), (20, 64 * 64 * 10**15)] and got[20] == [(21, topk.MOST), (41, topk.MOST)] and len(got) == 11
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
