@@ -284,7 +284,7 @@ def _dealt(docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, int]:
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     total = int(docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0)
     n_blocks = total // BLOCK_BYTES + 1
-    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), content.alias("text"), F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).cast("int").alias("block"))
+    dealt = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), content.alias("text"), F.pmod(F.xxhash64(id_col, content), F.lit(n_blocks)).cast("int").alias("block"))
     return dealt, total // BUCKET_BYTES + 1
 
 
