@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The index is a constant of the plan, so the number of rules is bounded.
-MAX_RULES = 10_000
+#: Rules of one table; more rules make more tables, whose best rules meet.
+TABLE_RULES = 2_000
 
 
 @dataclass(frozen=True)
@@ -72,10 +72,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
 
     The longest fitting rule wins, an earlier rule on ties. Where none fits, rule is null and the verdict is
     ``default``. A null url, or one without ``://``, has an empty host and path. Repeated rows are judged alike; an empty
-    table gives an empty table. More than ``MAX_RULES`` rules raise ValueError.
+    table gives an empty table. Any number of rules will do, as long as the plan, which holds them, fits the driver.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     host, path = split_url(F.col(url))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     split = pages.select(*kept, host.alias("host"), path.alias("path"))
@@ -89,22 +87,27 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
             F.lit(r.regex()).alias("regex"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action"),
         )
 
-    nothing = F.filter(F.array(entry(0)), lambda e: F.lit(False)) if rules else None
-    if rules:
-        keyed = [i for i in index if index[i] is not None]
+    subject = F.concat(F.col("host"), F.col("path"))
+
+    def best_among(part: Sequence[int]) -> Column:
+        """The best fitting rule of a part of them, as a struct, or null."""
+        nothing = F.filter(F.array(entry(part[0])), lambda e: F.lit(False))
+        keyed = [i for i in part if index[i] is not None]
         buckets = max(1, len({index[i] for i in keyed}))
-        slot = {t: _slot(t, buckets) for t in {index[i] for i in keyed}}
-        table = F.array(*[
-            F.array(*[entry(i) for i in keyed if slot[index[i]] == b]) if any(slot[index[i]] == b for i in keyed) else nothing
-            for b in range(buckets)
-        ])
+        held: dict[int, list[int]] = {}
+        for i in keyed:
+            held.setdefault(_slot(index[i], buckets), []).append(i)
+        table = F.array(*[F.array(*map(entry, held[b])) if b in held else nothing for b in range(buckets)])
         fetched = F.flatten(F.transform(F.col("__tokens"), lambda t: F.filter(
             F.element_at(table, (F.pmod(F.xxhash64(t), F.lit(buckets)) + 1).cast("int")), lambda e: e["token"] == t)))
-        loose = [entry(i) for i in index if index[i] is None]
+        loose = [entry(i) for i in part if index[i] is None]
         candidates = F.concat(fetched, F.array(*loose)) if loose else fetched
-        subject = F.concat(F.col("host"), F.col("path"))
-        best = F.array_max(F.filter(candidates, lambda e: F.regexp_like(subject, e["regex"])))
-        split = split.withColumn("__best", best)
+        return F.array_max(F.filter(candidates, lambda e: F.regexp_like(subject, e["regex"])))
+
+    if rules:
+        parts = [range(at, min(at + TABLE_RULES, len(rules))) for at in range(0, len(rules), TABLE_RULES)]
+        found = [best_among(p) for p in parts]
+        split = split.withColumn("__best", found[0] if len(found) == 1 else F.array_max(F.array(*found)))
         rule, action = F.col("__best.rule"), F.col("__best.action")
     else:
         rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")

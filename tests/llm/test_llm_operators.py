@@ -159,7 +159,9 @@ def naive_verdict(url):
     return host, path, best.text if best else None, best.action if best else "allow"
 
 
-def test_url_filter_equals_the_definition(spark):
+@pytest.mark.parametrize("table_rules", [2, 2_000])
+def test_url_filter_equals_the_definition(spark, monkeypatch, table_rules):
+    monkeypatch.setattr(urlfilter, "TABLE_RULES", table_rules)
     urls = [None, "", "nothing", "http://", "https://Example.ORG/es/x", "https://a.example.org/en/1?x", "https://a.example.org/en/2#/es/", "https://example.org", "https://xexample.org/es/",
             "http://a.com/fr/1", "http://a.com/de/1", "http://com/de/", "http://.org/", "http://a.com/DE/", "ftp://b.org?x=/", "http://É.org/é\n/", "a://b://c.org/"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, None)], "page_id long, url string").withColumn("host", F.lit("clash"))
