@@ -64,10 +64,14 @@ class ChunkConfig:
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """``models`` and ``tables`` map a target to its rules; models without rules are skipped. Models run first, then tables."""
+    """``models`` and ``tables`` map a target to its rules. Models run first, then tables.
+
+    A model without rules has those that ``sanitizers`` holds under its name (what follows the last dot) with "Sanitizer" added, and is skipped if there are none.
+    """
 
     models: Mapping[str, RuleSet | None] = field(default_factory=dict)
     tables: Mapping[str, RuleSet] = field(default_factory=dict)
+    sanitizers: Mapping[str, RuleSet] = field(default_factory=dict)
     environments: Sequence[str] = ("local", "testing")
     environment: str = "local"
     chunk: ChunkConfig = ChunkConfig()

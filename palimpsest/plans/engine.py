@@ -46,13 +46,15 @@ def unreadable(text: Column) -> Column:
 class Engine:
     """``frames`` maps table names to their data; ``sink(table, snapshot)`` stores what a run has made of a table."""
 
-    def __init__(self, spark: SparkSession, config: EngineConfig, catalog: SchemaCatalog, frames: Mapping[str, DataFrame], sink: Sink | None = None) -> None:
-        self.spark, self.config, self.catalog, self.sink = spark, config, catalog, sink
+    def __init__(self, spark: SparkSession, config: EngineConfig, catalog: SchemaCatalog, frames: Mapping[str, DataFrame], sink: Sink | None = None, checks: guards.Guards = guards.Guards()) -> None:
+        self.spark, self.config, self.catalog, self.sink, self.checks = spark, config, catalog, sink, checks
         self.frames = dict(frames)
 
     def targets(self, options: RunOptions) -> list[Target]:
         """Models first, then tables; a choice of targets is one of models."""
-        models = [Target(name, (rules.table if isinstance(rules, RuleSet) else None) or name, rules, rules.key_name if isinstance(rules, RuleSet) else None) for name, rules in self.config.models.items()]
+        by_name = self.config.sanitizers
+        ruled = {name: by_name.get(f"{name.rpartition('.')[2]}Sanitizer") if rules is None else rules for name, rules in self.config.models.items()}
+        models = [Target(name, (rules.table if isinstance(rules, RuleSet) else None) or name, rules, rules.key_name if isinstance(rules, RuleSet) else None) for name, rules in ruled.items()]
         if options.targets is not None:
             return [t for t in models if t.label in options.targets]
         return models + [Target(f"table:{name}", name, rules) for name, rules in self.config.tables.items()]
@@ -71,14 +73,14 @@ class Engine:
     def _run(self, options: RunOptions, kept: list[str]) -> RunReport:
         assert_environment(self.config, options)
         targets = self.targets(options)
-        guards.check_targets(self.config.models, self.config.tables, targets)
+        self.checks.targets(self.config.models, self.config.tables, targets)
         targets = [self._spelled(t) for t in targets]
         ruled = [t for t in targets if t.rules is not None]
         for t in ruled:
-            guards.check_schema(t, t.rules, self.catalog)
-            guards.check_quality(t, t.rules, self.catalog)
-        groups = guards.check_mirror_groups(ruled, self.catalog)
-        spaces = guards.check_namespaces(ruled)
+            self.checks.schema(t, t.rules, self.catalog)
+            self.checks.quality(t, t.rules, self.catalog)
+        groups = self.checks.mirrors(ruled, self.catalog)
+        spaces = self.checks.namespaces(ruled)
         self.key = self.config.secret() if spaces else Secret(b"")
         self.run_seed = Secret(self.config.run_seed or os.urandom(32))
         for t in ruled:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from typing import Any
 
 from ..errors import ConstraintViolation, InvalidCategoricalColumn, InvalidConfiguration, UnsafeColumn
@@ -172,3 +173,14 @@ def check_targets(models: Mapping[str, Any], tables: Mapping[str, Any], targets:
     for t in targets:
         if not t.table or t.rules is not None and not isinstance(t.rules, RuleSet):
             raise InvalidConfiguration(f"{t.label or 'a target'}: not a rule set")
+
+
+@dataclass(frozen=True)
+class Guards:
+    """What a run checks before any row is read; an engine takes others in their place."""
+
+    targets: Callable[..., None] = check_targets
+    schema: Callable[..., None] = check_schema
+    quality: Callable[..., None] = check_quality
+    mirrors: Callable[..., list[set[Node]]] = check_mirror_groups
+    namespaces: Callable[..., dict[str, Keyed]] = check_namespaces

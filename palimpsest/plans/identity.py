@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,10 @@ def resolve_identity(df: DataFrame, target: Target, rules: RuleSet, info: TableI
     def proven(columns: tuple[str, ...]) -> bool:
         if not columns or not set(columns) <= set(info.columns) or written & set(columns) or not typed(columns):
             return False
-        return not relational.has_nulls(df, columns) and relational.is_unique(df, columns)
+        try:
+            return not relational.has_nulls(df, columns) and relational.is_unique(df, columns)
+        except PySparkException:  # a probe that fails proves nothing
+            return False
 
     if info.primary_key and not written & set(info.primary_key) and typed(info.primary_key):
         return Identity(info.primary_key, "primary")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import enum
+import importlib
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -16,6 +18,9 @@ from ..functions.shapes import BankAccount, KeepLength, Nric, Pattern, Shape, Ss
 from ..sources.catalog import Spelling
 
 
+DOTTED = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+")
+
+
 @dataclass(frozen=True)
 class Keyed:
     """Equal inputs of one namespace get equal outputs, over rows, columns and tables."""
@@ -102,6 +107,9 @@ REGISTRY: dict[str, Generator] = {
         "word": Words("{w}"), "name": Words("{W} {W}"), "firstName": Words("{W}"), "lastName": Words("{W}"), "userName": Words("{w}{#}{#}{#}"),
         "safeEmail": Words("{w}.{w}{#}{#}{#}@example.com"), "email": Words("{w}.{w}{#}{#}{#}@{w}.example"), "sentence": Words("{W} {w} {w} {w} {w} {w}."),
         "city": Words("{W}"), "phoneNumber": Words("0{#}{#}-{#}{#}{#}{#}{#}{#}{#}"),
+        "title": Words("{W}"), "company": Words("{W} {W} Ltd"), "jobTitle": Words("{W} {w}"), "country": Words("{W}"), "streetName": Words("{W} Street"), "streetAddress": Words("{#}{#} {W} Street"),
+        "address": Words("{#}{#} {W} Street, {#}{#}{#}{#}{#} {W}"), "postcode": Words("{#}{#}{#}{#}{#}"), "domainName": Words("{w}{#}{#}.example"), "url": Words("https://{w}.example/{w}/{w}"),
+        "slug": Words("{w}-{w}-{w}{#}"), "password": Words("{w}{W}{#}{#}{#}{#}"), "randomDigit": Words("{#}"), "text": Words("{W} {w} {w} {w} {w} {w}. {W} {w} {w} {w} {w}."),
         "malaysiaNric": Nric(), "malaysiaSst": Sst(), "malaysiaState": State(), "malaysiaBankAccount": BankAccount(),
     }.items()
 }
@@ -111,8 +119,21 @@ def register(name: str, shape: Shape) -> None:
     REGISTRY[name] = Generator(name, shape)
 
 
+def _imported(definition: Any) -> type[Shape] | None:
+    """The shape class that a text like ``package.module.Class`` names, if there is one."""
+    if not isinstance(definition, str) or not DOTTED.fullmatch(definition):
+        return None
+    module, _, name = definition.rpartition(".")
+    try:
+        found = getattr(importlib.import_module(module), name, None)
+    except ImportError:  # some other text with dots
+        return None
+    return found if isinstance(found, type) and issubclass(found, Shape) else None
+
+
 def resolve(definition: Any) -> Any:
-    """The definition behind a name or class, or the definition itself."""
+    """The definition behind a class, the dotted path of one, or a generator's name; or the definition itself."""
+    definition = _imported(definition) or definition
     if isinstance(definition, type) and issubclass(definition, Shape):
         return definition()
     if isinstance(definition, str) and definition in REGISTRY:

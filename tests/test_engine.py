@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from dataclasses import replace
 from pathlib import Path
 
 import pytest
@@ -16,7 +17,9 @@ from palimpsest.functions.shapes import KeepLast, KeepLength, Pattern
 from palimpsest.operators import relational
 from palimpsest.operators.keyed import candidates, keyed_column, unique_mapping
 from palimpsest.plans.engine import Engine
-from palimpsest.plans.rules import Codec, Expression, RuleSet, keyed, keyed_pattern
+from palimpsest.plans.guards import Guards
+from palimpsest.plans.identity import resolve_identity
+from palimpsest.plans.rules import Codec, Expression, RuleSet, Target, keyed, keyed_pattern
 from palimpsest.sources import tables
 from palimpsest.sources.catalog import ForeignKey, SchemaCatalog
 from palimpsest.streaming.rewrite import rewrite_stream, start
@@ -251,6 +254,23 @@ def test_models_of_other_tables_and_without_rules(spark):
     assert [t.target for t in e.run(RunOptions(targets=["User"])).targets] == ["User"]
 
 
+def test_rules_by_naming_convention_classes_by_path_and_other_guards(spark):
+    rules = RuleSet({"note": "palimpsest.functions.shapes.Nric", "role": "no.such.Class"})
+    seen = []
+    e = engine(spark, {"users": users(4)}, {"app.users": None, "app.Other": None}, sanitizers={"usersSanitizer": replace(rules, table="users")})
+    e.checks = Guards(quality=lambda t, r, c: seen.append(t.label))
+    report = e.run()
+    assert [t.skipped for t in report.targets] == [None, "no-sanitizer"] and seen == ["app.users"]
+    made = e.frames["users"].orderBy("id").collect()
+    assert made[0]["note"] is None and made[1]["note"].replace("-", "").isdigit() and made[1]["role"] == "no.such.Class"
+
+
+def test_a_failing_probe_proves_nothing(spark):
+    frame = spark.range(4).select(F.col("id"), F.col("id").cast("string").alias("email"), F.expr("if(id = 3, raise_error('x'), id)").alias("code"))
+    found = resolve_identity(frame, Target("t", "t", RuleSet({"email": "x"})), RuleSet({"email": "x"}), SchemaCatalog.of({"t": frame.schema}, unique={"t": [["code"], ["id"]]}).tables["t"])
+    assert found.columns == ("id",) and found.source == "unique"
+
+
 FK = {"foreign_keys": [ForeignKey("orders", ("user_id",), "users", ("id",)), ForeignKey("orders", ("code",), "users", ("email",))]}
 ORDERS = ([(1, 1, "c")], "id long, user_id long, code string")
 
