@@ -16,11 +16,13 @@ _own_root: str | None = None
 
 
 def root(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The session's ``spark.checkpoint.dir``. Where that is unset: a temporary folder in local mode, on a cluster an error, as executors share none."""
     global _own_root
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared:
         return shared
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="palimpsest-")
     return _own_root
