@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import memory
 
 #: Code points that one pass over arrays takes, and that one replay covers: bounds on a task's memory.
-PASS_CHARS = 2_000_000
-REPLAY_CHARS = 12_000_000
+PASS_CHARS = 1_000_000
+REPLAY_CHARS = 4_000_000
 NEVER = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # The code points of the Unicode property White_Space, and the pattern's contractions.

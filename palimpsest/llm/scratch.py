@@ -49,24 +49,28 @@ def digest(text: str) -> Column:
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-#: Keys of repeated rows that are broadcast; more are joined by a shuffle.
-MAX_BROADCAST_KEYS = 100_000
+#: Keys of rows (an id and a digest of 64 characters) that are broadcast, some 60 MB at most; more are joined by a shuffle.
+MAX_BROADCAST_KEYS = 500_000
+
+
+def _checked(keys: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
 
 
 def without(docs: DataFrame, gone: DataFrame, repeated: DataFrame, text: str, id_col: str) -> DataFrame:
     """``docs`` without the rows of ``gone``, and with one row alone for each of ``repeated``; both hold id and :func:`digest` of text, as __id and __sha.
 
-    Of repeated rows it doesn't matter which one stays. The table is dealt out once, to be held against ``gone``; where there are
-    repeated rows at all, these are set apart first, and only they are dealt out for that.
+    Of repeated rows it doesn't matter which one stays. The table is dealt out once at most, to be held against ``gone``, and not at all
+    if its keys can be broadcast; where there are repeated rows, these are set apart first, and only they are dealt out for that.
     """
     named = docs.withColumn("__text_sha", digest(text))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_sha") == F.col("__sha"))
-    out, once, gone, n = named, None, gone.select("__id", "__sha"), repeated.count()
+    gone, repeated = write(gone.select("__id", "__sha"), "gone"), write(repeated.select("__id", "__sha"), "repeated")
+    out, once, n = named, None, repeated.count()
     if n:
-        keys = repeated.select("__id", "__sha")
-        keys = F.broadcast(keys) if n <= MAX_BROADCAST_KEYS else keys
+        keys = _checked(repeated, n)
         out, once = named.join(keys, same, "left_anti"), named.join(keys, same, "left_semi").dropDuplicates([id_col, "__text_sha"])
-    out = out.join(gone, same, "left_anti")
+    out = out.join(_checked(gone, gone.count()), same, "left_anti")
     return (out.unionByName(once) if once is not None else out).drop("__text_sha")
 
 
