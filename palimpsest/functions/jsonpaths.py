@@ -28,9 +28,9 @@ def parse_path(path: str) -> list[str]:
     segments = path.split("->")
     for s in segments:
         if not s:
-            raise ValueError(f'path "{path}" has an empty segment')
+            raise ValueError(f'nothing stands between two arrows, or at an end, of "{path}"')
         if re.search(r"\[\d*\]", s):
-            raise ValueError(f'path "{path}" has a bracket index in "{s}"; write ->0 or ->* instead')
+            raise ValueError(f'"{s}" of "{path}": elements are reached by ->0 or ->*, not by brackets')
     return segments
 
 
