@@ -64,8 +64,12 @@ class Spelled:
         code = np.zeros(len(at), np.uint64)
         with np.errstate(over="ignore"):
             for i in range(n):
-                code = (code ^ (self.points[at - i].astype(np.uint64) + np.uint64(11))) * MULTIPLIER
-                code ^= code >> np.uint64(29)
+                step = self.points[at - i].astype(np.uint64)
+                step += np.uint64(11)
+                code ^= step
+                code *= MULTIPLIER
+                np.right_shift(code, np.uint64(29), out=step)
+                code ^= step
         return code
 
     def longest(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
