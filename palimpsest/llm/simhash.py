@@ -3,6 +3,8 @@
 Distinct fingerprints are partitioned by their Hamming distance from vantage points. Two fingerprints at most r apart differ
 by at most r in their distance from any point, so each fingerprint visits, besides its own shard, only those that the
 triangle bounds don't exclude. Shards are searched by the same pruning down to small tiles, which are compared in full.
+Where fingerprints stand for sets, the set's size is its distance from the empty set and bounds in the same way: a node of the tree
+splits by size or by a vantage point, whichever leaves fewer points that must visit both sides.
 Links within a shard come out as trees of bounded degree, never as all pairs, and are joined up over shards.
 """
 
@@ -23,8 +25,11 @@ from . import memory, scratch
 TREE_SAMPLE = 20_000
 #: Aimed-at fingerprints of a shard.
 SHARD_ROWS = 32_768
-#: Fingerprints of a tile that is compared in full.
+#: Fingerprints of a tile that is compared in full, and the rows and columns of it that are compared at once.
 TILE = 1_024
+STRIP = (16, 4_096)
+#: Links of a tile that are held before they are joined up.
+HELD_LINKS = 1 << 20
 #: Aimed-at shingle sets of a cell; two cells meet in a task.
 CELL = 256
 #: Children of a node in the trees that carry links.
@@ -68,34 +73,55 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wi
 
 @dataclass(frozen=True)
 class Node:
-    """Inner: fingerprints within ``radius`` of ``point``; outer: the others. A leaf has a shard number alone."""
+    """Inner: fingerprints within ``radius`` of ``point``, or with ``bound`` sets of that size at most; outer: the others. A leaf has a shard number alone."""
 
     shard: int = -1
     point: int = 0
     radius: int = 0
     inner: Node | None = None
     outer: Node | None = None
+    bound: int = -1
 
 
-def plan_tree(sample: np.ndarray, depth: int, seed: int = 1) -> Node:
+def size_visits(sizes: np.ndarray, bound: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets may have a Jaccard similarity of ``least`` to one of ``bound`` elements or fewer, and to a larger one: of two, the smaller has ``least`` times the larger's."""
+    return bound >= least * sizes, sizes >= least * (bound + 1)
+
+
+def distance_visits(distance: np.ndarray, radius: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    return distance <= radius + reach, distance > radius - reach
+
+
+def plan_tree(sample: np.ndarray, depth: int, seed: int = 1, reach: int = 0, sizes: np.ndarray | None = None, least: float = 0.0) -> Node:
     counter = iter(range(1 << (depth + 1)))
     rng = np.random.default_rng(seed)
 
-    def build(points: np.ndarray, left: int) -> Node:
+    def build(at: np.ndarray, left: int) -> Node:
+        points = sample[at]
         if left and len(points) >= 8:
             point = points[rng.integers(len(points))]
-            d = np.bitwise_count(points ^ point)
+            d = np.bitwise_count(points ^ point).astype(np.int16)
             radius = int(np.median(d))
-            near = d <= radius
-            if 0 < near.sum() < len(points):
-                return Node(-1, int(point), radius, build(points[near], left - 1), build(points[~near], left - 1))
+            near, bound = d <= radius, -1
+            splits = 0 < near.sum() < len(points)
+            if sizes is not None:
+                middle = int(np.median(sizes[at]))
+                small = sizes[at] <= middle
+                twice = [(x & y).sum() for x, y in (size_visits(sizes[at], middle, least), distance_visits(d, radius, reach))]
+                if 0 < small.sum() < len(points) and (not splits or twice[0] < twice[1]):
+                    near, bound, splits = small, middle, True
+            if splits:
+                return Node(-1, int(point), radius, build(at[near], left - 1), build(at[~near], left - 1), bound)
         return Node(next(counter))
 
-    return build(sample, depth)
+    return build(np.arange(len(sample)), depth)
+
 
+def route(node: Node, fps: np.ndarray, reach: int, sizes: np.ndarray | None = None, least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index, shard, home) of every shard that may hold something within ``reach`` of a fingerprint; home: its own.
 
-def route(node: Node, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, shard, home) of every shard that may hold something within ``reach`` of a fingerprint; home: its own."""
+    With ``sizes`` of sets, something whose size also allows a Jaccard similarity of ``least``.
+    """
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
 
     def walk(n: Node, idx: np.ndarray, home: np.ndarray) -> None:
@@ -104,10 +130,15 @@ def route(node: Node, fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarr
         if n.inner is None or n.outer is None:
             out.append((idx, n.shard, home))
             return
-        d = np.bitwise_count(fps[idx] ^ np.uint64(n.point)).astype(np.int16)
-        a, b = d <= n.radius + reach, d > n.radius - reach
-        walk(n.inner, idx[a], home[a] & (d[a] <= n.radius))
-        walk(n.outer, idx[b], home[b] & (d[b] > n.radius))
+        if n.bound >= 0:
+            a, b = size_visits(sizes[idx], n.bound, least)
+            inside = sizes[idx] <= n.bound
+        else:
+            d = np.bitwise_count(fps[idx] ^ np.uint64(n.point)).astype(np.int16)
+            a, b = distance_visits(d, n.radius, reach)
+            inside = d <= n.radius
+        walk(n.inner, idx[a], home[a] & inside[a])
+        walk(n.outer, idx[b], home[b] & ~inside[b])
 
     walk(node, np.arange(len(fps)), np.ones(len(fps), bool))
     if not out:
@@ -147,26 +178,56 @@ class Linked:
         return order[child], order[first[child] + (place[child] - 1) // FANOUT]
 
 
-def link_within(home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1, second: np.ndarray | None = None, both: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(rows: np.ndarray, columns: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within ``reach``, strip by strip; a strip's distances stay in the processor's cache."""
+    height, width = STRIP
+    apart, count, near = (np.empty(height * width, t) for t in (np.uint64, np.uint8, bool))
+    for m in range(0, len(columns), width):
+        some = columns[m : m + width]
+        for k in range(0, len(rows), height):
+            part = rows[k : k + height]
+            cells, shape = len(part) * len(some), (len(part), len(some))
+            np.bitwise_xor(part[:, None], some[None, :], out=apart[:cells].reshape(shape))
+            np.bitwise_count(apart[:cells], out=count[:cells])
+            np.less_equal(count[:cells], reach, out=near[:cells])
+            found = np.flatnonzero(near[:cells])
+            if len(found):
+                i, j = np.divmod(found, len(some))
+                yield i + k, j + m
+
+
+def link_within(
+    home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1, second: np.ndarray | None = None, both: int = 128,
+    sizes: np.ndarray | None = None, least: float = 0.0,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All fingerprints, and tree edges (as indexes) over the links home-home and home-guest.
 
-    With ``second``, a further fingerprint of each point, a link differs in ``both`` bits of the two at most.
+    With ``second``, a further fingerprint of each point, a link differs in ``both`` bits of the two at most. With ``sizes`` of the points' sets, links
+    are between sizes that allow a Jaccard similarity of ``least``.
     """
     points = np.concatenate([home, guests])
     linked, rng = Linked(len(points)), np.random.default_rng(seed)
 
     def tile(h: np.ndarray, q: np.ndarray) -> None:
+        held, n_held = [], 0
         for k in range(0, len(h), TILE):
             rows = h[k : k + TILE]
-            for m in range(0, len(q), TILE):
-                columns = q[m : m + TILE]
-                near = np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= reach
-                i, j = np.nonzero(near)
-                i, j = rows[i], columns[j]
+            for i, j in near_pairs(points[rows], points[q], reach):
+                i, j = rows[i], q[j]
                 if second is not None:
-                    apart = np.bitwise_count(points[i] ^ points[j]) + np.bitwise_count(second[i] ^ second[j])
-                    i, j = i[apart <= both], j[apart <= both]
-                linked.add(i, j)
+                    able = np.bitwise_count(points[i] ^ points[j]) + np.bitwise_count(second[i] ^ second[j]) <= both
+                    i, j = i[able], j[able]
+                if sizes is not None:
+                    able = np.minimum(sizes[i], sizes[j]) >= least * np.maximum(sizes[i], sizes[j])
+                    i, j = i[able], j[able]
+                if len(i):
+                    held.append((i, j))
+                    n_held += len(i)
+                if n_held > HELD_LINKS:
+                    linked.add(*map(np.concatenate, zip(*held)))
+                    held, n_held = [], 0
+        if n_held:
+            linked.add(*map(np.concatenate, zip(*held)))
 
     def search(h: np.ndarray, q: np.ndarray) -> None:
         """Links of home points ``h`` (which ``q`` holds too) with ``q``."""
@@ -176,10 +237,16 @@ def link_within(home: np.ndarray, guests: np.ndarray, reach: int, seed: int = 1,
             point = points[h[rng.integers(len(h))]]
             dh, dq = np.bitwise_count(points[h] ^ point).astype(np.int16), np.bitwise_count(points[q] ^ point).astype(np.int16)
             radius = int(np.median(dh))
-            near = dh <= radius
-            if 0 < near.sum() < len(h):
-                search(h[near], q[dq <= radius + reach])
-                search(h[~near], q[dq > radius - reach])
+            near, visits = dh <= radius, distance_visits(dq, radius, reach)
+            splits = 0 < near.sum() < len(h)
+            if sizes is not None:
+                middle = int(np.median(sizes[h]))
+                small, fewer = sizes[h] <= middle, size_visits(sizes[q], middle, least)
+                if 0 < small.sum() < len(h) and (not splits or sum(x.sum() for x in fewer) < sum(x.sum() for x in visits)):
+                    near, visits, splits = small, fewer, True
+            if splits:
+                search(h[near], q[visits[0]])
+                search(h[~near], q[visits[1]])
                 return
         tile(h, q)
 
@@ -195,18 +262,20 @@ def linked_fingerprints(fps: DataFrame, reach: int, shard_rows: int = SHARD_ROWS
     return _linked(fps, reach, shard_rows, None)
 
 
-def _linked(fps: DataFrame, reach: int, shard_rows: int, both: int | None) -> DataFrame:
-    """As :func:`linked_fingerprints`; with ``both``, fps has fp, second and node too, links are as in :func:`link_within`, and edges are of nodes."""
+def _linked(fps: DataFrame, reach: int, shard_rows: int, both: int | None, least: float = 0.0) -> DataFrame:
+    """As :func:`linked_fingerprints`; with ``both``, fps has fp, second, node and size, links are as in :func:`link_within`, and edges are of nodes."""
     n = fps.count()
     sample = scratch.bounded_sample(fps, ["fp"], TREE_SAMPLE, 1, n)
     depth = max(0, int(np.ceil(np.log2(max(1, n) / shard_rows)))) if n else 0
-    tree = plan_tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), depth)
-    extra = [] if both is None else ["second", "node"]
+    sampled_sizes = None if both is None else np.array([r["size"] for r in sample], np.int64)
+    tree = plan_tree(np.array([r["fp"] for r in sample], np.int64).view(np.uint64), depth, reach=reach, sizes=sampled_sizes, least=least)
+    extra = [] if both is None else ["second", "node", "size"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            idx, shard, home = route(tree, points, reach)
+            sizes = None if both is None else batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            idx, shard, home = route(tree, points, reach, sizes, least)
             own = np.empty(len(points), np.int32)
             own[idx[home]] = shard[home]
             # of two shards, one gets the other's guests: a linked pair could visit both ways
@@ -220,9 +289,9 @@ def _linked(fps: DataFrame, reach: int, shard_rows: int, both: int | None) -> Da
         if both is not None:
             home = table.column("home").to_numpy().astype(bool)
             order = np.r_[np.flatnonzero(home), np.flatnonzero(~home)]
-            points, second, node = (table.column(c).to_numpy().astype(np.int64)[order] for c in ("fp", "second", "node"))
+            points, second, node, sizes = (table.column(c).to_numpy().astype(np.int64)[order] for c in ("fp", "second", "node", "size"))
             own = int(home.sum())
-            _, a, b = link_within(points[:own].view(np.uint64), points[own:].view(np.uint64), reach, second=second.view(np.uint64), both=both)
+            _, a, b = link_within(points[:own].view(np.uint64), points[own:].view(np.uint64), reach, second=second.view(np.uint64), both=both, sizes=sizes, least=least)
             return pa.table({"a": node[a], "b": node[b]})
         points = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         home = table.column("home").to_numpy().astype(bool)
@@ -354,16 +423,16 @@ def similar_sets(docs: DataFrame, text: str, id_col: str, width: int, reach: int
     """__id, __sha (of the text) and root, for rows in components of more than one row.
 
     Texts link if their shingle sets have a Jaccard similarity of ``least`` or more. Candidates are sets whose fingerprints differ in ``reach`` bits
-    or fewer, and with a second fingerprint in ``both``; their components are dealt into cells of bounded size, each two of which meet
+    or fewer, and with a second fingerprint in ``both``, and whose sizes allow that similarity; their components are dealt into cells of bounded size, each two of which meet
     in one task, where the sets themselves are compared. A component's root is the smallest name of a set in it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sketch(shingle_hashes(x.as_py(), width)) for x in batch.column(2)]
-            columns = np.array(found, np.uint64).reshape(-1, 3).T.copy().view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in columns)], names=["__id", "__sha", "fp", "second", "node"])
+            found = [(*sketch(hashes), len(hashes)) for hashes in (shingle_hashes(x.as_py(), width) for x in batch.column(2))]
+            columns = np.array(found, np.uint64).reshape(-1, 4).T.copy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in columns)], names=["__id", "__sha", "fp", "second", "node", "size"])
         memory.give_back()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,9 +448,9 @@ def similar_sets(docs: DataFrame, text: str, id_col: str, width: int, reach: int
 
     content = F.coalesce(F.col(text), F.lit("")).cast("binary")
     source = docs.select(F.col(id_col).alias("__id"), scratch.digest(text).alias("__sha"), content.alias("text"))
-    drawn = scratch.write(source.mapInArrow(sketches, f"__id {kind}, __sha string, fp bigint, second bigint, node bigint"), "sketches")
-    nodes = scratch.write(drawn.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("__sha").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    groups = components(_linked(nodes.select("fp", "second", "node"), reach, shard_rows, both)).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
+    drawn = scratch.write(source.mapInArrow(sketches, f"__id {kind}, __sha string, fp bigint, second bigint, node bigint, size bigint"), "sketches")
+    nodes = scratch.write(drawn.groupBy("node").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("size").alias("size"), F.min("__sha").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
+    groups = components(_linked(nodes.select("fp", "second", "node", "size"), reach, shard_rows, both, least)).select(F.col("node").alias("in_group"), F.col("root").alias("group"))
     held = scratch.write(nodes.join(groups, F.col("node") == F.col("in_group")).select("first", F.col("node").alias("member"), "group"), "candidates")
     cells = held.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).select(F.col("group").alias("of"), "cells")
     texts = source.join(held.join(cells, F.col("group") == F.col("of")), F.col("__sha") == F.col("first")).select("member", "text", "group", "cells").dropDuplicates(["member"])

@@ -86,6 +86,43 @@ def test_vantage_point_search_finds_every_link():
     assert len(a) > 300 and all(own[j] in visits[i] and own[i] in visits[j] for i, j in zip(a.tolist(), b.tolist()))
 
 
+def test_sizes_bound_the_search_and_lose_no_link(monkeypatch):
+    """At 16 bits distances exclude next to nothing; sizes do, and every pair that they and the bits allow is still found."""
+    rng = np.random.default_rng(4)
+    points = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    points[2000:] = points[:1000] ^ (np.uint64(7) << rng.integers(0, 60, 1000).astype(np.uint64))
+    sizes = np.exp(rng.uniform(0, 7, 3000)).astype(np.int64)
+    sizes[2000:] = np.maximum(0, sizes[:1000] * rng.uniform(0.7, 1.3, 1000)).astype(np.int64)
+    sizes[:20] = sizes[2000:2020] = 0
+    able = np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes)
+    a, b = np.nonzero(np.triu(able & (np.bitwise_count(points[:, None] ^ points) <= 16), 1))
+    assert 300 < len(a) and (sizes[a] == 0).any() and (np.minimum(sizes[a], sizes[b]) < np.maximum(sizes[a], sizes[b])).any()
+    tree = simhash.plan_tree(points[::5], 4, reach=16, sizes=sizes[::5], least=0.8)
+    idx, shard, home = simhash.route(tree, points, 16, sizes, 0.8)
+    assert np.array_equal(np.sort(idx[home]), np.arange(3000)) and len(np.unique(shard)) == 16
+    assert len(idx) < 6 * 3000  # of 16 shards; by distances alone each fingerprint visits nearly all
+    visits, own = set(zip(idx.tolist(), shard.tolist())), dict(zip(idx[home].tolist(), shard[home].tolist()))
+    assert all((i, own[j]) in visits and (j, own[i]) in visits for i, j in zip(a.tolist(), b.tolist()))
+    monkeypatch.setattr(simhash, "TILE", 64)
+    monkeypatch.setattr(simhash, "HELD_LINKS", 10)
+    compared, near_pairs = [], simhash.near_pairs
+    monkeypatch.setattr(simhash, "near_pairs", lambda rows, columns, reach: compared.append(len(rows) * len(columns)) or near_pairs(rows, columns, reach))
+    _, x, y = simhash.link_within(points, points[:0], 16, sizes=sizes, least=0.8)
+    want, got = simhash.Linked(3000), simhash.Linked(3000)
+    want.add(a, b)
+    got.add(x, y)
+    assert np.array_equal(got.label, want.label)
+    assert sum(compared) < 0.35 * 3000**2
+
+
+def test_strips_find_every_pair(monkeypatch):
+    monkeypatch.setattr(simhash, "STRIP", (3, 7))
+    rows, columns = (np.random.default_rng(i).integers(0, 256, n, dtype=np.uint64) for i, n in ((1, 10), (2, 30)))
+    got = [(int(i), int(j)) for a, b in simhash.near_pairs(rows, columns, 2) for i, j in zip(a, b)]
+    i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ columns) <= 2)
+    assert len(got) == len(set(got)) == len(i) > 20 and set(got) == set(zip(i.tolist(), j.tolist()))
+
+
 def test_trees_carry_components_with_few_edges():
     linked = simhash.Linked(1000)
     linked.add(np.arange(0, 998), np.arange(2, 1000))
