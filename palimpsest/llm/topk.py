@@ -4,7 +4,8 @@ Components are scaled to integers. Vectors and queries are packed into blocks. A
 blocks, which follow it one by one; each pair of blocks is
 searched by Fagin's threshold algorithm over the vector block's lists, one per dimension, sorted once by component: the
 lists are read in step from the end that the query's sign favours, rows seen for the first time are scored in full, and the
-search stops when the scores of the last entries read, the bound of any unseen row, can't beat the k-th result. The k best of
+search stops when the scores of the last entries read, the bound of any unseen row, can't beat the k-th result. The queries of a block
+read the lists together: a row that one of them sees is scored for all that haven't stopped, in one matrix product. The k best of
 each pair of blocks then meet in one ranking per query.
 """
 
@@ -22,6 +23,8 @@ QUERY_BLOCK = 512
 WAVE = 256
 #: Entries first read of each list; every further read doubles the depth.
 FIRST_DEPTH = 16
+#: Rows that are scored at once for a block of queries.
+SCORED_ROWS = 4_096
 #: What the score column can hold.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -73,6 +76,62 @@ def threshold_search(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, qu
     return best_id, best
 
 
+def _best(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each owner, in order; ties to smaller ids."""
+    order = np.lexsort((ids, -scores, owner))
+    start = np.flatnonzero(np.r_[True, np.diff(owner[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+    order = order[place < k]
+    return owner[order], ids[order], scores[order]
+
+
+def threshold_searches(vectors: np.ndarray, ids: np.ndarray, lists: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`threshold_search` for each row of ``queries``, whose ids are left out: (query's number, id, score). ``ids`` ascend; inner products are exact in doubles."""
+    n, dims = len(vectors), np.arange(vectors.shape[1])
+    small = vectors.size and queries.size and np.abs(vectors).max() * np.abs(queries).max() * len(dims) < 2.0**24
+    kind = np.float32 if small else np.float64  # either holds every partial sum
+    rows, asked = vectors.astype(kind), queries.astype(kind)
+    seen, least = np.zeros(n, bool), np.full(len(queries), -np.inf)
+    owner, found, best = np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    active, done, depth = np.arange(len(queries)), 0, FIRST_DEPTH
+    while done < n and len(active):
+        depth = min(n, depth)
+        if depth == n or not len(dims):
+            depth, fresh = n, np.flatnonzero(~seen)
+        else:
+            up, down = (asked[active] < 0).any(0), (asked[active] > 0).any(0)
+            mark = np.zeros(n, bool)
+            mark[lists[up, done:depth].ravel()] = True
+            mark[lists[down, n - depth : n - done].ravel()] = True
+            fresh = np.flatnonzero(mark & ~seen)
+        seen[fresh] = True
+        for a in range(0, len(fresh), SCORED_ROWS):
+            part = fresh[a : a + SCORED_ROWS]
+            scores = asked[active] @ rows[part].T
+            first, stop = (np.searchsorted(ids[part], query_ids[active], side) for side in ("left", "right"))
+            for i in np.flatnonzero(stop > first).tolist():
+                scores[i, first[i] : stop[i]] = -np.inf
+            bar = least[active]
+            if len(part) > k:  # the k-th of these rows alone is a bar too
+                bare = np.flatnonzero(np.isneginf(bar))
+                bar[bare] = np.partition(scores[bare], len(part) - k, axis=1)[:, len(part) - k]
+            # a tie may still win by its id
+            q, r = np.divmod(np.flatnonzero(scores >= bar[:, None].astype(kind)), len(part))
+            able = scores[q, r] > -np.inf
+            q, r = q[able], r[able]
+            if len(q):
+                owner, found, best = _best(np.r_[owner, active[q]], np.r_[found, ids[part[r]]], np.r_[best, scores[q, r].astype(np.float64)], k)
+                full = np.flatnonzero(np.bincount(owner, minlength=len(queries)) == k)
+                least[full] = best[np.searchsorted(owner, full, side="right") - 1]
+        if depth == n:
+            break
+        low, high = vectors[lists[:, depth - 1], dims], vectors[lists[:, n - depth], dims]
+        bound = np.minimum(queries[active], 0) @ low + np.maximum(queries[active], 0) @ high
+        active = active[~(least[active] > bound)]
+        done, depth = depth, depth * 2
+    return owner, found, best
+
+
 def _pack(df: DataFrame, id_type: str, rows: int, label: str) -> DataFrame:
     """Blocks of about ``rows`` rows: block, ids, width, values (int64 or, beyond, decimal text)."""
     n = max(1, -(-df.count() // rows))
@@ -138,12 +197,14 @@ def top_k(
                 q, v = q[:, :w], np.ascontiguousarray(vectors_[:, :w])
                 if v.size and q.size and np.abs(v).max() * np.abs(q).max() * w >= 2.0**53:
                     v, q = np.array([[int(x) for x in r] for r in v], object).reshape(v.shape), np.array([[int(x) for x in r] for r in q], object).reshape(q.shape)
-                found = [threshold_search(v, ids, lists, q[i], k, int(q_ids[i])) for i in range(len(q_ids))]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, [len(f[0]) for f in found])),
-                    pa.array(np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64), pa.int64()),
-                    pa.array([max(LEAST, min(MOST, int(s))) for f in found for s in f[1]], pa.int64()),
-                ], names=["query_id", "vec_id", "score"])
+                    found = [threshold_search(v, ids, lists, q[i], k, int(q_ids[i])) for i in range(len(q_ids))]
+                    owner = np.repeat(np.arange(len(q_ids)), [len(f[0]) for f in found])
+                    near = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+                    scores = pa.array([max(LEAST, min(MOST, int(s))) for f in found for s in f[1]], pa.int64())
+                else:
+                    owner, near, scores = threshold_searches(v, ids, lists[:w], q, q_ids, k)
+                    scores = pa.array(scores.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[owner]), pa.array(near, pa.int64()), scores], names=["query_id", "vec_id", "score"])
 
     found = dealt.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
