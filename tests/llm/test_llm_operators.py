@@ -827,6 +827,15 @@ def test_lm_cases(spark):
     assert {(r["n_known"], r["train_tokens"]) for r in lm.score_documents(only_held, VOCABULARY).collect()} == {(0, 0)}
 
 
+def test_repeated_rows_are_scored_alike_wherever_they_lie_in_a_batch(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, n) for n in (0, 3, 7, 31, 90, 200)]
+    rows = [(i, texts[i]) for i in range(6) for _ in range(67)] + [(100 + i, prose(rng, i)) for i in range(40)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY).collect()
+    assert len(got) == len(rows) and len({(r["doc_id"], r["score"], r["base_score"]) for r in got}) == 46
+    assert len({r["train_tokens"] for r in got}) == 1 and got[0]["train_tokens"] == sum(len(t.split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
+
+
 def test_mixture_sums_to_one_over_its_events():
     """The known words, and one event for all others, of which the attention model spells two."""
     spelled, counts = np.array([0.4, 0.3, 0.2, 0.1]), np.array([5, 3, 0, 0])
