@@ -114,12 +114,13 @@ class Block:
 
     def filter_keys(self, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys (bucket << 32 | 32 bits), whether several runs have one, and the key's number and length of each run."""
-        found, lengths = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        found, lengths, self.long_runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
         for _, (value,), inside, doc in self.passages((FILTER_K,)):
             same = np.r_[False, (value[1:] == value[:-1]) & (doc[1:] == doc[:-1])]
             first, size = _runs_of(same, inside)
             found.append(value[first])
             lengths.append(size)
+            self.long_runs.append((first, size))
         value = np.concatenate(found)
         bucket = (value >> np.uint64(32)) % np.uint64(n_buckets)
         keys, number, count = np.unique(bucket << np.uint64(32) | value & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
@@ -129,13 +130,12 @@ class Block:
         """Runs of passages that may repeat, as numbered distinct strings.
 
         (start, passages and number of each run; strings, their minimizers and buckets). ``elsewhere``: whether each run of
-        :meth:`filter_keys` may repeat. Runs of ``hot`` minimizers are split into passages.
+        :meth:`filter_keys`, which comes before, may repeat. Runs of ``hot`` minimizers are split into passages.
         """
         starts, runs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         at = 0
-        for a, (long, short), inside, doc in self.passages((FILTER_K, K)):
+        for (first, size), (a, (short,), inside, doc) in zip(self.long_runs, self.passages((K,))):
             near = np.r_[False, doc[1:] == doc[:-1]]
-            first, size = _runs_of(near & np.r_[False, long[1:] == long[:-1]], inside)
             edge = np.zeros(len(inside) + 1, np.int8)
             kept = elsewhere[at : at + len(first)]
             at += len(first)
@@ -178,13 +178,11 @@ def shard_transform(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, n
     for j in range(8):
         key = key << np.uint64(8) | codes[begin + (place + j) % size]
     depth = 8
-    while True:
+    while depth < 64:
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-        if depth >= 64:
-            break
         key = rank * np.uint64(len(codes)) + rank[begin + (place + depth) % size]
         depth *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(key)  # suffixes alike to that depth may stand in any order
     before = codes[begin + (place - 2) % size].astype(np.uint16) << np.uint16(8) | codes[begin + (place - 1) % size]
     return order, before[order]
 
@@ -325,14 +323,14 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
     hot = hot_minimizers(dealt)
 
     def candidates(table: pa.Table, replies: pa.Table):
-        block = _block(_in_order(table))
+        block = _block(table)
         keys, several, number, _ = block.filter_keys(n_buckets)
         return block, block.strings(((_answers(keys, replies) > 0) | several)[number], n_buckets, hot)
 
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         rows = {"bucket": [], "block": [], "chars": [], "passages": [], "minimizers": [], "owners": []}
         if table.num_rows:
-            block, (starts, _, ids, words, values, buckets) = candidates(table, replies)
+            block, (starts, _, ids, words, values, buckets) = candidates(_in_order(table), replies)
             owners = np.full(len(words), NOBODY)
             np.minimum.at(owners, ids, block.owner(starts))
             sizes = np.fromiter(map(len, words), np.int64, len(words)) - LENGTH + 1
@@ -378,7 +376,7 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         heard = replies.filter(pa.compute.is_valid(replies.column("states")))
-        told = replies.filter(pa.compute.is_valid(replies.column("starts")))
+        told, table = replies.filter(pa.compute.is_valid(replies.column("starts"))), _in_order(table)
         block, (starts, runs, ids, words, _, buckets) = candidates(table, heard)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) - LENGTH + 1
         offsets, total = np.cumsum(sizes) - sizes, int(sizes.sum())
@@ -396,7 +394,7 @@ def repeats(docs: DataFrame, make, schema: str, text: str = "text", id_col: str
         edge[at] += 1  # a position starts one passage
         edge[LENGTH:] -= np.bincount(at, minlength=len(edge) - LENGTH).astype(np.int32) if len(at) else 0
         removed = np.cumsum(edge[: len(block.data)]) > 0
-        return make(_in_order(table).column("doc_id").combine_chunks(), block, removed)
+        return make(table.column("doc_id").combine_chunks(), block, removed)
 
     return by_block.cogroup(replies.groupBy("block")).applyInArrow(_when_any(finish, make), schema)
 

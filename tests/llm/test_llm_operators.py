@@ -688,6 +688,19 @@ def test_repeats_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "_powers", None)
 
 
+def test_minimizers_of_each_length_are_taken_once(monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, rng.randint(0, 80)).encode() for _ in range(50)]
+    taken, minimizers = Counter(), repeats.passage_minimizers
+    monkeypatch.setattr(repeats, "passage_minimizers", lambda data, ks: taken.update(ks) or minimizers(data, ks))
+    block = repeats.Block(texts, np.arange(50))
+    _, _, number, lengths = block.filter_keys(3)
+    starts, runs, ids, words, *_ = block.strings(np.ones(len(number), bool), 3)
+    assert taken == {repeats.FILTER_K: 1, repeats.K: 1}
+    assert lengths.sum() == runs.sum() == sum(max(0, len(t) - repeats.LENGTH + 1) for t in texts)
+    assert all(words[i] == block.raw[a : a + n + repeats.LENGTH - 1] for a, n, i in zip(starts, runs, ids))
+
+
 def test_removed_spans_and_empty_tables(spark):
     shared = "".join(random.Random(1).choice("abcdefgh") for _ in range(80))
     df = spark.createDataFrame([(1, shared), (2, "xx" + shared + "yy"), (2, shared), (None, shared)], "doc_id long, text string")
