@@ -766,6 +766,33 @@ def test_scores_equal_one_position_at_a_time():
     assert np.allclose(got, want, atol=1e-4) and np.allclose(initial, want_initial, atol=1e-4)
 
 
+def test_words_merged_side_by_side_equal_the_rule():
+    with open(VOCABULARY, "rb") as f:
+        ranks = bpe.Ranks.cached(f.read(), lm.BEGIN)
+    rng = random.Random(8)
+    words = [b"", b"a", *(b"a" * n for n in (2, 3, 47, 48, 49, 300)), *(" ééaée".encode()[: rng.randint(1, 9)] * rng.randint(1, 12) for _ in range(100))]
+    words += [rng.randbytes(rng.randint(0, 60)) for _ in range(200)] + [b" " + prose(rng, 1).encode() for _ in range(200)]
+    ids, sizes = ranks.encode_words(words)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [ranks.encode_one(w) for w in words]
+    assert [x.tolist() for x in ranks.encode_words([])] == [[], []]
+
+
+def test_words_are_encoded_once_for_all_chunks_of_a_block(monkeypatch):
+    with open(VOCABULARY, "rb") as f:
+        ranks = bpe.Ranks.cached(f.read(), lm.BEGIN)
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 300)
+    taken, joined = [], b"".join
+    for name in ("replay", "encode_words"):
+        method = getattr(bpe.Ranks, name, None)
+        if method:
+            monkeypatch.setattr(bpe.Ranks, name, lambda self, words, method=method: taken.append(joined(words)) or method(self, words))
+    rng = random.Random(2)
+    texts = [prose(rng, 20).encode() for _ in range(40)]
+    targets = lm.train(lm.Adam(lm.fresh()), texts, ranks, 2e-3, 64, np.random.default_rng(3))
+    assert len(taken) == 1 and taken[0] == joined(b" " + w for w in dict.fromkeys(w for t in texts for w in lm.words_of(t)))
+    assert targets == sum(len(lm.sequences([lm.words_of(t)], ranks)[0]) - 1 for t in texts)
+
+
 def naive_lm(texts, held, n_blocks, ranks):
     """n_known, base and score of each text: one word at a time, from parameters trained block by block in plain loops."""
     split = [(t or "").encode().lower().split() for t in texts]
