@@ -205,23 +205,26 @@ class Engine:
             kind = frame.schema[c].dataType
             value, raw_kind = F.col(f"__value{i}"), made.schema[f"__value{i}"].dataType
             code = validate.error_of(info.columns[c], value, raw_kind)
+            as_text = isinstance(kind, NESTED) and self._in_place(t, rules, c, kind) is None
             if c in rules.codecs:
                 encoded = attempted(rules.codecs[c].encode(value).cast(kind))
                 new = encoded["v"]
                 unread = F.col(c).isNotNull() & attempted(rules.codecs[c].decode(F.col(c))).isNull()
                 checks = [F.when(unread, "the codec can't decode the stored value (message withheld)"), F.col(f"__broken{i}"), F.when(encoded.isNull(), "the codec can't encode the new value (message withheld)")]
-            elif isinstance(kind, NESTED):
+            elif as_text:
                 same = value.eqNullSafe(self._document(F.col(c), kind))
                 new = F.when(same, F.col(c)).otherwise(attempted(F.from_json(value, kind, {"mode": "FAILFAST"}))["v"])
                 checks = [F.col(f"__broken{i}"), F.when(value.isNotNull() & new.isNull(), validate.TYPE)]
+            elif isinstance(kind, NESTED):
+                new, checks = value, [F.col(f"__broken{i}")]
             else:
                 new = value if raw_kind == kind else value.try_cast(kind) if isinstance(raw_kind, T.StringType) else value.cast(kind)
                 checks = [F.col(f"__broken{i}"), code, F.when(value.isNotNull() & new.isNull(), validate.TYPE)]
             errors += [F.concat(F.lit(f"{c}: "), x) for x in checks]
             old = self._decoded(rules, c)
-            if isinstance(kind, NESTED):
+            if as_text:
                 old, raw_kind = self._document(old, kind), T.StringType()
-            changed = ~value.eqNullSafe(old.cast(raw_kind)) if c in rules.codecs or isinstance(kind, NESTED) else ~new.eqNullSafe(F.col(c))
+            changed = ~value.eqNullSafe(old.cast(raw_kind)) if c in rules.codecs or as_text else ~new.eqNullSafe(F.col(c))
             made = made.withColumns({f"__new{i}": new, f"__changed{i}": changed})
         return made.withColumn("__error", F.coalesce(*errors, F.lit(None).cast("string")))
 
@@ -297,6 +300,9 @@ class Engine:
             text = old.cast("string") if fills else canonical(old, kind, f"{t.label}: {c}")
             return random_column(self.run_seed, t.label, c, definition, readable(text), F.col("__id"), F.col("__attempt"), fills), unreadable(text)
         if isinstance(definition, JsonPaths):
+            in_place = self._in_place(t, rules, c, kind)
+            if in_place is not None:
+                return in_place, fine
             text = self._document(old, kind)
             done = jsondoc.rewrite_column(definition, self._leaf_rule(t, c, definition), readable(text), F.col(f"__j{i}"), F.col("__id"))
             return done["value"], F.coalesce(unreadable(text), done["error"])
@@ -309,15 +315,28 @@ class Engine:
         value = validate.stored(definition)
         return F.lit(value) if value is not None else F.lit(None).cast(kind), fine
 
+    def _in_place(self, t: Target, rules: RuleSet, c: str, kind: T.DataType) -> Column | None:
+        """A nested column with constants at its paths as a native expression; None where its text has to be rewritten."""
+        paths = resolve(rules.fields[c])
+        if not isinstance(paths, JsonPaths) or not isinstance(kind, NESTED) or c in rules.codecs or c in rules.categorical or any(c in u for u in self.catalog.tables[t.table].constraints()):
+            return None
+        if not all(map(is_static, paths.definitions.values())):
+            return None
+        return jsondoc.constant_column(paths, {p: self._constant(resolve(d)) for p, d in paths.definitions.items()}, F.col(c), kind)
+
+    @staticmethod
+    def _constant(d: Any) -> Any:
+        return d.value if hasattr(d, "value") and hasattr(d, "name") else d
+
     def _leaf_rule(self, t: Target, column: str, paths: JsonPaths) -> jsondoc.Replace:
-        key, run_seed, label = self.key, self.run_seed, t.label
+        key, run_seed, label, constant = self.key, self.run_seed, t.label, self._constant
         definitions = {p: resolve(d) for p, d in paths.definitions.items()}
         constants = {p for p, d in paths.definitions.items() if is_static(d)}
 
         def new_leaf(path: str, leaf: Any, mapping: dict[str, str], identity: str) -> Any:
             d = definitions[path]
             if path in constants:
-                return d.value if hasattr(d, "value") and hasattr(d, "name") else d
+                return constant(d)
             if isinstance(d, Keyed):
                 text = jsondoc.leaf_text(leaf)
                 known = mapping.get(f"{d.namespace}\x1f{text}")
